@@ -54,22 +54,33 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _block_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of data; cuts: positions where a text begins."""
-    space = SPACES[data]
+#: All bytes but letters and those of characters beyond ASCII.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def _block_words(data: np.ndarray, cuts: np.ndarray, between: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of data, and hashes of their first ``prefix`` bytes (0 for words no longer); cuts: where a text begins."""
+    space = between[data]
     starts = ~space
     starts[1:] &= space[:-1]
     cuts = cuts[cuts < len(data)]
     starts[cuts] = ~space[cuts]
     at = np.flatnonzero(starts)
     if not len(at):
-        return np.empty(0, U), at
+        return np.empty(0, U), at, np.empty(0, U)
     power, inverse = _tables(len(data))
     value = _FOLD[data]
     value *= power[: len(data)]
     value[space] = 0
     sums = np.add.reduceat(value, at)
-    return mix(sums * inverse[at]), at
+    stems = np.zeros(len(at) if prefix else 0, U)
+    if prefix:
+        longer = np.flatnonzero(np.add.reduceat((~space).astype(np.int64), at) > prefix)
+        for j in range(prefix):
+            stems[longer] += _FOLD[data[at[longer] + j]] * power[j]
+        stems[longer] = mix(stems[longer] ^ U(0xA0761D6478BD642F))
+    return mix(sums * inverse[at]), at, stems
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +98,40 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _long_words(data: np.ndarray) -> np.ndarray:
+def _long_words(data: np.ndarray, between: np.ndarray, prefix: int) -> np.ndarray:
     out, a = [], 0
     while a < len(data):
         b = min(len(data), a + BLOCK)
-        while b < len(data) and not SPACES[data[b]]:
-            gap = np.flatnonzero(SPACES[data[b : b + 4096]])
+        while b < len(data) and not between[data[b]]:
+            gap = np.flatnonzero(between[data[b : b + 4096]])
             b = b + int(gap[0]) if len(gap) else min(len(data), b + 4096)
-        out.append(_block_words(data[a:b], np.zeros(1, np.int64))[0])
+        hashes, _, stems = _block_words(data[a:b], np.zeros(1, np.int64), between, prefix)
+        out += [hashes, stems[stems != 0]]
         a = b
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its lower-cased words in order) for each row of a string column."""
+def word_hashes(column: pa.Array, between: np.ndarray = SPACES, prefix: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its lower-cased words in order) for each row of a string column.
+
+    between: the bytes that part words; with a prefix, hashes of the first so many bytes of longer words are among them.
+    """
     data, offsets = text_buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1)
         a, b = offsets[row], offsets[end]
         if end == row + 1 and b - a > BLOCK:
-            yield row, _long_words(data[a:b])
+            yield row, _long_words(data[a:b], between, prefix)
         elif b == a:
             for r in range(row, end):
                 yield r, np.empty(0, U)
         else:
-            hashes, at = _block_words(data[a:b], offsets[row:end] - a)
+            hashes, at, stems = _block_words(data[a:b], offsets[row:end] - a, between, prefix)
             edges = np.searchsorted(at, offsets[row : end + 1] - a)
             for r in range(row, end):
-                yield r, hashes[edges[r - row] : edges[r - row + 1]]
+                own = slice(edges[r - row], edges[r - row + 1])
+                yield r, np.concatenate([hashes[own], stems[own][stems[own] != 0]]) if prefix else hashes[own]
         row = end
 
 

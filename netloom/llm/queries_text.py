@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import mark_copies
 from .near_dup import jaccard_components
 from .packing import pack
+from .secrets import scan_secrets
 from .session import table
+from .toxicity import THRESHOLD, score, train
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_copies(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -30,9 +37,16 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op4_exact_dedup": op4_exact_dedup, "op9_ngram_jaccard_join": op9_ngram_jaccard_join}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_secret_scans": op3_secret_scans, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op9_ngram_jaccard_join": op9_ngram_jaccard_join}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
