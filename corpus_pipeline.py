@@ -8,7 +8,7 @@ from netloom.llm.exact_dedup import drop_copies
 from netloom.llm.near_dup import keep_one
 from netloom.llm.packing import pack
 from netloom.llm.session import shared_path
-from netloom.llm.secrets import redact_secrets
+from netloom.llm.secret_scans import redact_secrets
 from netloom.llm.toxicity import drop_toxic
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import mark_copies
 from .near_dup import jaccard_components
 from .packing import pack
-from .secrets import scan_secrets
+from .secret_scans import scan_secrets
 from .session import table
 from .toxicity import THRESHOLD, score, train
 
