@@ -1,13 +1,585 @@
-"""Registered queries of the network-analytics operators."""
+"""Registered queries of the network-analytics operators and their DuckDB SQL.
 
+Shared panels: monthly brand revenue (returns, 24-month windows every 3
+months), daily event values, and embeddings.  Results are rounded to 6 digits
+in both engines, as sums may be added in another order.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import compare as C
+from ..operators import dependence as D
+from ..operators import dynamics as N
+from ..operators import graph as G
+from ..operators import sparse as S
+from ..sources import tables as src
+from . import oracle
 
-def oracle_sql():
-    return {}
+THRESHOLD, ROLL_SIZE, ROLL_STEP, TOP, MIN_PERIODS = 0.2, 24, 3, 8, 12
+SCALES = (18, 24, 36)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    """Register a query; its numbers are rounded."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*[F.round(F.col(c.name), 6).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema])
+
+    run.__doc__ = f.__doc__
+    _QUERIES[f.__name__] = run
+    return f
+
+
+# --- inputs ------------------------------------------------------------------------------------------------------
+
+
+def spine(spark, d):
+    return src.on_spine(src.brand_panel(spark, d))
+
+
+def returns(spark, d):
+    return D.log_returns(spine(spark, d))
+
+
+def dim(spark, d):
+    return src.brand_groups(src.brand_panel(spark, d))
+
+
+def pairs(spark, d):
+    return D.pearson(returns(spark, d), MIN_PERIODS).select("e1", "e2", F.col("corr").alias("weight")).filter("weight IS NOT NULL")
+
+
+def edges(spark, d):
+    return G.threshold_edges(pairs(spark, d), THRESHOLD)
+
+
+def history(spark, d, size=ROLL_SIZE):
+    return N.rolling_pearson(returns(spark, d), dim(spark, d), size, ROLL_STEP)
+
+
+def scales(spark, d):
+    """Histories of all window sizes on the end dates that the largest can reach."""
+    out = None
+    for size in SCALES:
+        h = history(spark, d, size).withColumn("window_size", F.lit(size))
+        # a window of size W and id w ends at row W - 1 + (w - 1) * step
+        end = size - 1 + (F.col("window_id") - 1) * ROLL_STEP
+        h = h.withColumn("window_id", end).filter(F.col("window_id") >= max(SCALES) - 1)
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+def static_edges(spark, d):
+    return pairs(spark, d).select("e1", "e2", (F.abs("weight") >= THRESHOLD).alias("static_stable"))
+
+
+# --- sources, checks, returns, correlation -------------------------------------------------------------------------
+
+
+@query
+def pf8_quality_profile(s, d):
+    """Observations, dates, gaps and coverage by brand."""
+    return src.coverage_profile(spine(s, d))
+
+
+@query
+def pf7_coverage_filter(s, d):
+    return src.covered(spine(s, d), 0.95).select("t", "entity", "value")
+
+
+@query
+def src2_last_per_date(s, d):
+    """The last order of each priority and day, by key."""
+    bars = src.table(s, d, "orders").select(F.col("o_orderpriority").alias("entity"), F.to_date("o_orderdate").alias("t"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"))
+    return src.last_per_date(bars, "seq")
+
+
+@query
+def src_event_panel(s, d):
+    return src.event_panel(s, d)
+
+
+@query
+def e1_log_returns(s, d):
+    return returns(s, d).select("t", "entity", "ret")
+
+
+@query
+def e2_return_summary(s, d):
+    return D.return_summary(returns(s, d), 12)
+
+
+@query
+def e3_joint_counts(s, d):
+    return D.joint_counts(returns(s, d))
+
+
+@query
+def e4_pearson(s, d):
+    return D.pearson(returns(s, d), MIN_PERIODS)
+
+
+@query
+def e5_covariance(s, d):
+    """Listwise-complete covariance of the nations' order values."""
+    return D.covariance(returns(s, d))
+
+
+@query
+def e6_correlation(s, d):
+    return D.correlation_of(D.covariance(returns(s, d)))
+
+
+@query
+def e10_standardize(s, d):
+    return D.standardize(returns(s, d).filter("ret IS NOT NULL")).select("t", "entity", "z")
+
+
+@query
+def pf5_complete_rows(s, d):
+    return D.complete_rows(returns(s, d)).select("t", "entity", "ret")
+
+
+# --- graphs --------------------------------------------------------------------------------------------------------
+
+
+@query
+def g1_threshold_edges(s, d):
+    return edges(s, d)
+
+
+@query
+def g2_threshold_sensitivity(s, d):
+    return G.threshold_sensitivity(pairs(s, d), [0.05, 0.1, 0.2, 0.3, 0.4])
+
+
+@query
+def g2_absolute_sensitivity(s, d):
+    return G.threshold_sensitivity(pairs(s, d), [0.05, 0.1, 0.2, 0.3, 0.4], absolute=True)
+
+
+@query
+def g3_distance_graph(s, d):
+    return G.distance_graph(pairs(s, d))
+
+
+@query
+def g4_spanning_tree(s, d):
+    return G.spanning_tree(pairs(s, d))
+
+
+@query
+def g5_node_degrees(s, d):
+    return G.node_degrees(dim(s, d), edges(s, d))
+
+
+@query
+def g8_path_centrality(s, d):
+    return G.path_centrality(dim(s, d), edges(s, d))
+
+
+@query
+def g10_components(s, d):
+    return G.components(dim(s, d), edges(s, d))
+
+
+@query
+def g14_network_summary(s, d):
+    return G.network_summary(dim(s, d), edges(s, d), dim(s, d))
+
+
+@query
+def g16_assortativity(s, d):
+    return G.assortativity(edges(s, d), dim(s, d))
+
+
+@query
+def g17_edge_groups(s, d):
+    return G.enrich(edges(s, d), dim(s, d))
+
+
+@query
+def g19_union_graph(s, d):
+    return G.union_graph(history(s, d))
+
+
+@query
+def g20_common_graph(s, d):
+    return G.common_graph(history(s, d), [1, 2, 3])
+
+
+@query
+def t1_tree_length(s, d):
+    return G.tree_length(G.spanning_tree(pairs(s, d)))
+
+
+@query
+def snk3_tree_layout(s, d):
+    return G.tree_layout(G.spanning_tree(pairs(s, d)))
+
+
+# --- precision and sparse precision --------------------------------------------------------------------------------
+
+
+def event_cov(s, d):
+    return D.covariance(D.log_returns(src.on_spine(src.event_panel(s, d))))
+
+
+@query
+def e7_matrix_diagnostics(s, d):
+    return D.matrix_diagnostics(event_cov(s, d))
+
+
+@query
+def e8_precision(s, d):
+    return D.precision(event_cov(s, d))
+
+
+@query
+def e9_partial(s, d):
+    return D.partial_of(D.precision(event_cov(s, d)).drop("inverse_error"))
+
+
+@query
+def e11_graphical_lasso(s, d):
+    return S.support(S.glasso(D.matrix_of(pairs(s, d), "weight"), 0.15)).select("e1", "e2", "precision", "weight")
+
+
+@query
+def e12_regularization_path(s, d):
+    matrix = D.matrix_of(pairs(s, d), "weight")
+    return S.regularization_path(s, matrix, S.alpha_grid(S.alpha_max(matrix), 10, 0.3))
+
+
+def daily_returns(s, d):
+    return D.log_returns(src.on_spine(src.event_panel(s, d)))
+
+
+@query
+def e14_cross_validation(s, d):
+    r = daily_returns(s, d)
+    return S.cross_validate(s, r, S.alpha_grid(S.alpha_max(D.correlation_of(D.covariance(r))), 8, 0.1))
+
+
+@query
+def e15_one_standard_error(s, d):
+    r = daily_returns(s, d)
+    return S.one_standard_error(S.cross_validate(s, r, S.alpha_grid(S.alpha_max(D.correlation_of(D.covariance(r))), 8, 0.1)))
+
+
+@query
+def e17_resample_stability(s, d):
+    return S.stability(S.resample_fits(daily_returns(s, d), 0.1, 40, 5))
+
+
+@query
+def e19_block_robustness(s, d):
+    fits = S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20)
+    return S.stability(fits, ("block_length",))
+
+
+@query
+def e20_block_jaccards(s, d):
+    return S.set_jaccards(S.stability(S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20), ("block_length",)))
+
+
+@query
+def e21_robust_edges(s, d):
+    return S.robust_edges(S.stability(S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20), ("block_length",)), (3, 5, 8))
+
+
+@query
+def e22_rolling_glasso(s, d):
+    return S.rolling_glasso(daily_returns(s, d), 0.1, 15, 5)
+
+
+# --- comparison ------------------------------------------------------------------------------------------------------
+
+
+def halves(s, d):
+    """Edges of the first and the last window."""
+    h = history(s, d).filter("selected")
+    last = h.agg(F.max("window_id").alias("last"))
+    return h.filter("window_id = 1").select("e1", "e2", "weight"), h.join(last, F.col("window_id") == F.col("last")).select("e1", "e2", "weight")
+
+
+@query
+def set1_intersection(s, d):
+    return C.edge_intersection(*halves(s, d))
+
+
+@query
+def set2_union(s, d):
+    return C.edge_union(*halves(s, d))
+
+
+@query
+def set3_difference(s, d):
+    return C.edge_difference(*halves(s, d))
+
+
+@query
+def set4_overlap(s, d):
+    return C.overlap(*halves(s, d))
+
+
+@query
+def set5_edge_status(s, d):
+    return C.edge_status(*halves(s, d), "First", "Last")
+
+
+def two_weights(s, d):
+    """Full-sample correlation against the last window's, pair by pair."""
+    h = history(s, d)
+    last = h.join(h.agg(F.max("window_id").alias("last")), F.col("window_id") == F.col("last"))
+    return pairs(s, d).select("e1", "e2", F.col("weight").alias("pearson")).join(last.select("e1", "e2", F.col("weight").alias("partial")).filter("partial IS NOT NULL"), ["e1", "e2"])
+
+
+@query
+def c1_pair_comparison(s, d):
+    return C.pair_comparison(two_weights(s, d))
+
+
+@query
+def c2_comparison_summary(s, d):
+    return C.comparison_summary(C.pair_comparison(two_weights(s, d)))
+
+
+@query
+def c4_node_comparison(s, d):
+    a, b = halves(s, d)
+    return C.node_comparison(G.node_degrees(dim(s, d), a), G.node_degrees(dim(s, d), b), "first", "last", ("degree", "strength"))
+
+
+# --- dynamics --------------------------------------------------------------------------------------------------------
+
+
+@query
+def e22_rolling_history(s, d):
+    return history(s, d)
+
+
+@query
+def n1_window_summary(s, d):
+    return N.window_summary(history(s, d))
+
+
+@query
+def n2_window_nodes(s, d):
+    return N.window_nodes(history(s, d))
+
+
+@query
+def n3_turnover(s, d):
+    return N.turnover(history(s, d))
+
+
+@query
+def n4_edge_changes(s, d):
+    return N.edge_changes(history(s, d))
+
+
+@query
+def n6_persistence(s, d):
+    return N.persistence(history(s, d))
+
+
+@query
+def n7_persistence_by_relation(s, d):
+    return N.persistence_by_relation(N.persistence(history(s, d)))
+
+
+@query
+def n9_static_vs_dynamic(s, d):
+    return N.static_vs_dynamic(N.persistence(history(s, d)), static_edges(s, d), 0.5)
+
+
+@query
+def n9_static_dynamic_summary(s, d):
+    return N.static_dynamic_summary(N.static_vs_dynamic(N.persistence(history(s, d)), static_edges(s, d), 0.5))
+
+
+@query
+def n10_scale_summary(s, d):
+    return N.scale_summary(scales(s, d))
+
+
+@query
+def n11_multi_scale(s, d):
+    return N.multi_scale(N.persistence(scales(s, d), ("window_size",)), SCALES)
+
+
+@query
+def n13_multi_scale_summary(s, d):
+    return N.multi_scale_summary(N.multi_scale(N.persistence(scales(s, d), ("window_size",)), SCALES))
+
+
+@query
+def n34_ranked_nodes(s, d):
+    return N.ranked_nodes(history(s, d), 5)
+
+
+@query
+def n14_centrality_stability(s, d):
+    return N.centrality_stability(N.ranked_nodes(history(s, d), TOP))
+
+
+@query
+def n15_node_roles(s, d):
+    return N.node_roles(N.centrality_stability(N.ranked_nodes(history(s, d), TOP)), TOP).select("entity", "degree_role", "strength_role", "combined_role")
+
+
+@query
+def n16_episodes(s, d):
+    return N.episodes(history(s, d))
+
+
+@query
+def n17_lifecycle(s, d):
+    return N.lifecycle(history(s, d))
+
+
+@query
+def n19_lifecycle_classes(s, d):
+    return N.lifecycle_classes(N.lifecycle(history(s, d)))
+
+
+@query
+def n20_transition_rates(s, d):
+    return N.transition_rates(scales(s, d), ("window_size",))
+
+
+def contrast(s, d):
+    h = scales(s, d)
+    k = ("window_size",)
+    return N.relation_contrast(N.persistence_by_relation(N.persistence(h, k), k), N.transition_rates(h, k))
+
+
+@query
+def n21_relation_contrast(s, d):
+    return contrast(s, d)
+
+
+@query
+def n23_evidence_matrix(s, d):
+    table = N.multi_scale(N.persistence(scales(s, d), ("window_size",)), SCALES)
+    return N.evidence_matrix(contrast(s, d), N.multi_scale_summary(table, True))
+
+
+@query
+def n24_state_table(s, d):
+    return N.state_table(history(s, d))
+
+
+@query
+def n25_change_scores(s, d):
+    return N.change_scores(N.state_table(history(s, d)))
+
+
+@query
+def n27_threshold_summary(s, d):
+    return N.threshold_summary(N.change_scores(N.state_table(history(s, d))))
+
+
+def regime_inputs(s, d):
+    h = history(s, d)
+    states = N.state_table(h)
+    return h, states, N.regimes(states)
+
+
+@query
+def n28_regimes(s, d):
+    return regime_inputs(s, d)[2]
+
+
+@query
+def n29_regime_summary(s, d):
+    _, states, assigned = regime_inputs(s, d)
+    return N.regime_summary(states, assigned)
+
+
+@query
+def n30_change_points(s, d):
+    _, states, assigned = regime_inputs(s, d)
+    return N.change_points(states, assigned)
+
+
+@query
+def n31_regime_persistence(s, d):
+    h, _, assigned = regime_inputs(s, d)
+    return N.regime_persistence(h, assigned)
+
+
+@query
+def n32_regime_structure(s, d):
+    h, states, assigned = regime_inputs(s, d)
+    return N.regime_structure(states, assigned, N.regime_persistence(h, assigned))
+
+
+def regime_change(s, d):
+    h, _, assigned = regime_inputs(s, d)
+    return N.regime_edge_change(N.regime_persistence(h, assigned))
+
+
+@query
+def n33_regime_edge_change(s, d):
+    return regime_change(s, d)
+
+
+@query
+def n33_regime_change_summary(s, d):
+    return N.regime_change_summary(regime_change(s, d))
+
+
+@query
+def n35_regime_nodes(s, d):
+    h, _, assigned = regime_inputs(s, d)
+    return N.regime_nodes(N.ranked_nodes(h, 5), assigned)
+
+
+@query
+def n36_node_change(s, d):
+    h, _, assigned = regime_inputs(s, d)
+    return N.node_change(N.regime_nodes(N.ranked_nodes(h, 5), assigned))
+
+
+@query
+def n37_edge_burden(s, d):
+    return N.edge_burden(regime_change(s, d))
+
+
+@query
+def n38_contributors(s, d):
+    h, _, assigned = regime_inputs(s, d)
+    changes = N.node_change(N.regime_nodes(N.ranked_nodes(h, 5), assigned))
+    return N.contributors(changes, N.edge_burden(N.regime_edge_change(N.regime_persistence(h, assigned))))
+
+
+@query
+def n39_window_pairs(s, d):
+    return N.compare_windows(history(s, d), [(1, 2), (2, 5), (1, 10)])
+
+
+@query
+def n39_window_pair_summary(s, d):
+    return N.window_pair_summary(N.compare_windows(history(s, d), [(1, 2), (2, 5), (1, 10)]))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["g1_threshold_edges"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -24,3 +24,15 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(_ROOT.parent))
         sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """applyInPandas over groups (one group without keys), with this package on the executors' path."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(function, schema)
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInPandas, likewise."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
