@@ -62,13 +62,13 @@ def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(entity, component, component_size): the component's smallest entity names it.  Labels and pointers are halved until nothing changes."""
-    label = _settled(nodes.select("entity", F.col("entity").alias("component")))
-    links = _settled(incidence(edges).select("entity", "other"))
+    label = settled(nodes.select("entity", F.col("entity").alias("component")))
+    links = settled(incidence(edges).select("entity", "other"))
     while True:
         near = links.join(label.select(F.col("entity").alias("other"), "component"), "other").groupBy("entity").agg(F.min("component").alias("near"))
         low = label.join(near, "entity", "left").select("entity", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = low.join(low.select(F.col("entity").alias("low"), F.col("low").alias("lower")), "low").select("entity", "component", F.col("lower").alias("new"))
-        jump = _settled(jump)
+        jump = settled(jump)
         changed = jump.filter("new <> component").limit(1).count()
         label = jump.select("entity", F.col("new").alias("component"))
         if not changed:
@@ -76,7 +76,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return label.withColumn("component_size", F.count(F.lit(1)).over(W.partitionBy("component")))
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint in the shared folder (a local one where none is set, as in tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile

@@ -82,7 +82,7 @@ tn AS (SELECT {k}window_from, window_id AS window_to, date_from, network_date AS
        FROM lagged WHERE was IS NOT NULL GROUP BY ALL),
 tv AS (SELECT *, edges_to - edges_from AS net_edge_change, lost_edges + gained_edges AS gross_edge_changes,
        CASE WHEN union_edges = 0 THEN 1.0 ELSE common_edges / union_edges END AS jaccard, 1 - CASE WHEN union_edges = 0 THEN 1.0 ELSE common_edges / union_edges END AS turnover,
-       common_edges / nullif(edges_from, 0) AS retention, common_edges / nullif(edges_to, 0) AS inherited_share, lost_edges / nullif(edges_from, 0) AS lost_rate, gained_edges / nullif(edges_from, 0) AS gained_rate,
+       common_edges / nullif(edges_from, 0) AS retention, common_edges / nullif(edges_to, 0) AS inherited_share, lost_edges / nullif(edges_from, 0) AS lost_rate, gained_edges / nullif(edges_to, 0) AS gained_rate,
        lost_same + gained_same AS same_edge_changes, lost_cross + gained_cross AS cross_edge_changes, gained_same - lost_same AS net_same, gained_cross - lost_cross AS net_cross,
        (lost_cross + gained_cross) / nullif(lost_edges + gained_edges, 0) AS cross_change_share FROM tn)"""
 
@@ -167,8 +167,8 @@ cs AS (SELECT *, """ + ", ".join(f"max_{c} - min_{c} AS range_{c}" for c in ("de
        CASE WHEN abs(mean_degree) >= 1e-12 THEN sd_degree / abs(mean_degree) END AS cv_degree, CASE WHEN abs(mean_strength) >= 1e-12 THEN sd_strength / abs(mean_strength) END AS cv_strength FROM cs0)"""
 _STABLE_COLS = [f"{n}_{c}" for c, _, n in _MOMENTS] + [f"range_{c}" for c in ("degree", "strength", "degree_rank", "strength_rank")] + ["top_degree_share", "top_strength_share", "degree_strength_corr", "cv_degree", "cv_strength"]
 EPISODES = """,
-ep0 AS (SELECT *, row_number() OVER (PARTITION BY e1, e2 ORDER BY window_id) AS at FROM h),
-ep1 AS (SELECT *, at - row_number() OVER (PARTITION BY e1, e2 ORDER BY window_id) AS run FROM ep0 WHERE selected),
+ep0 AS (SELECT *, row_number() OVER (PARTITION BY e1, e2 ORDER BY window_id) AS place FROM h),
+ep1 AS (SELECT *, place - row_number() OVER (PARTITION BY e1, e2 ORDER BY window_id) AS run FROM ep0 WHERE selected),
 ep2 AS (SELECT e1, e2, same_grp, run, min(window_id) AS start_window, max(window_id) AS end_window, min(network_date) AS start_date, max(network_date) AS end_date, count(*) AS length FROM ep1 GROUP BY ALL),
 ep AS (SELECT * EXCLUDE (run), row_number() OVER (PARTITION BY e1, e2 ORDER BY start_window) AS episode FROM ep2)"""
 LIFE = moves() + EPISODES + """,

@@ -45,8 +45,13 @@ def spine(spark, d):
     return src.on_spine(src.brand_panel(spark, d))
 
 
+def kept(df):
+    """df behind a reliable checkpoint: the panel (months x brands) and the state table (a row per window) are small and read often."""
+    return G.settled(df)
+
+
 def returns(spark, d):
-    return D.log_returns(spine(spark, d))
+    return kept(D.log_returns(spine(spark, d)))
 
 
 def dim(spark, d):
@@ -62,14 +67,15 @@ def edges(spark, d):
 
 
 def history(spark, d, size=ROLL_SIZE):
-    return N.rolling_pearson(returns(spark, d), dim(spark, d), size, ROLL_STEP)
+    r = returns(spark, d)
+    return N.rolling_pearson(r, src.brand_groups(r), size, ROLL_STEP)
 
 
 def scales(spark, d):
     """Histories of all window sizes on the end dates that the largest can reach."""
-    out = None
+    out, r = None, returns(spark, d)
     for size in SCALES:
-        h = history(spark, d, size).withColumn("window_size", F.lit(size))
+        h = N.rolling_pearson(r, src.brand_groups(r), size, ROLL_STEP).withColumn("window_size", F.lit(size))
         # a window of size W and id w ends at row W - 1 + (w - 1) * step
         end = size - 1 + (F.col("window_id") - 1) * ROLL_STEP
         h = h.withColumn("window_id", end).filter(F.col("window_id") >= max(SCALES) - 1)
@@ -193,7 +199,8 @@ def g10_components(s, d):
 
 @query
 def g14_network_summary(s, d):
-    return G.network_summary(dim(s, d), edges(s, d), dim(s, d))
+    nodes, links = kept(dim(s, d)), kept(edges(s, d))
+    return G.network_summary(nodes, links, nodes)
 
 
 @query
@@ -356,7 +363,8 @@ def c2_comparison_summary(s, d):
 @query
 def c4_node_comparison(s, d):
     a, b = halves(s, d)
-    return C.node_comparison(G.node_degrees(dim(s, d), a), G.node_degrees(dim(s, d), b), "first", "last", ("degree", "strength"))
+    nodes = kept(dim(s, d))
+    return C.node_comparison(G.node_degrees(nodes, a), G.node_degrees(nodes, b), "first", "last", ("degree", "strength"))
 
 
 # --- dynamics --------------------------------------------------------------------------------------------------------
@@ -481,18 +489,18 @@ def n24_state_table(s, d):
 
 @query
 def n25_change_scores(s, d):
-    return N.change_scores(N.state_table(history(s, d)))
+    return N.change_scores(kept(N.state_table(history(s, d))))
 
 
 @query
 def n27_threshold_summary(s, d):
-    return N.threshold_summary(N.change_scores(N.state_table(history(s, d))))
+    return N.threshold_summary(kept(N.change_scores(kept(N.state_table(history(s, d))))))
 
 
 def regime_inputs(s, d):
     h = history(s, d)
-    states = N.state_table(h)
-    return h, states, N.regimes(states)
+    states = kept(N.state_table(h))
+    return h, states, kept(N.regimes(states))
 
 
 @query
