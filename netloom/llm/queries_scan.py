@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import oracle, quality
 from .archives import archive_round_trip
 from .language import evidence_of, fit_text, identify
 from .lexicon import round_trip
@@ -53,4 +53,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op2_quality_rules": quality.ORACLE_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op2_quality_rules": quality.ORACLE_SQL, "op5_license_scans": oracle.LICENSES, "op10_warc": OP10_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .exact_dedup import mark_copies
 from .near_dup import jaccard_components
 from .packing import pack
@@ -49,4 +50,4 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_secret_scans": op3_secret_scans, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard_join": oracle.NEAR_DUP}
