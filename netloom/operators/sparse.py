@@ -313,26 +313,42 @@ def windows(returns: DataFrame, size: int, step: int) -> DataFrame:
     return rows.select("window_id", "k", F.min("t").over(w).alias("window_start"), F.max("t").over(w).alias("window_end"))
 
 
+HISTORY = "window_id int, window_start date, network_date date, e1 string, e2 string, precision double, weight double, selected boolean, converged boolean, n_iter int, dual_gap double"
+
+
+def _fit_window(group: pd.DataFrame, alpha: float, keys: list[str]) -> pd.DataFrame:
+    """All pairs of one window; dates at which an entity is missing are left out."""
+    wide = group.pivot(index="k", columns="entity", values="ret").sort_index().dropna(how="any")
+    names, x = list(wide.columns), wide.to_numpy()
+    sd = x.std(axis=0)
+    if (sd <= 1e-12).any():
+        raise ValueError(f"window {group['window_id'].iloc[0]}: an entity doesn't vary")
+    z = (x - x.mean(axis=0)) / sd
+    r = graphical_lasso(z.T @ z / len(z), alpha)
+    i, j = np.triu_indices(len(names), 1)
+    theta = r["precision"][i, j]
+    on = np.abs(theta) > SUPPORT
+    out = {k: group[k].iloc[0] for k in keys} | {"window_id": group["window_id"].iloc[0], "window_start": group["window_start"].iloc[0], "network_date": group["window_end"].iloc[0]}
+    out |= {"e1": [names[a] for a in i], "e2": [names[b] for b in j], "precision": theta, "weight": np.where(on, partial_matrix(r["precision"])[i, j], 0.0), "selected": on}
+    return pd.DataFrame(out | {"converged": r["converged"], "n_iter": r["n_iter"], "dual_gap": r["dual_gap"]})
+
+
 def rolling_glasso(returns: DataFrame, alpha: float, size: int = 252, step: int = 20) -> DataFrame:
     """The edge history: every pair in every window, with precision, weight, selected; one task per window's fit."""
-    spans = windows(returns, size, step)
-    rows = returns.select("k", "entity", "ret").join(spans, "k")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot(index="k", columns="entity", values="ret").sort_index().dropna(how="any")
-        names, x = list(wide.columns), wide.to_numpy()
-        sd = x.std(axis=0)
-        if (sd <= 1e-12).any():
-            raise ValueError(f"window {group['window_id'].iloc[0]}: an entity doesn't vary")
-        z = (x - x.mean(axis=0)) / sd
-        r = graphical_lasso(z.T @ z / len(z), alpha)
-        i, j = np.triu_indices(len(names), 1)
-        theta = r["precision"][i, j]
-        on = np.abs(theta) > SUPPORT
-        weight = np.where(on, partial_matrix(r["precision"])[i, j], 0.0)
-        return pd.DataFrame({"window_id": group["window_id"].iloc[0], "window_start": group["window_start"].iloc[0], "network_date": group["window_end"].iloc[0], "e1": [names[a] for a in i], "e2": [names[b] for b in j], "precision": theta, "weight": weight, "selected": on, "converged": r["converged"], "n_iter": r["n_iter"], "dual_gap": r["dual_gap"]})
-
-    return apply_groups(rows, ["window_id"], fit, "window_id int, window_start date, network_date date, e1 string, e2 string, precision double, weight double, selected boolean, converged boolean, n_iter int, dual_gap double")
+    rows = returns.select("k", "entity", "ret").join(windows(returns, size, step), "k")
+    return apply_groups(rows, ["window_id"], lambda g: _fit_window(g, alpha, []), HISTORY)
+
+
+def window_sizes(returns: DataFrame, alpha: float, sizes: tuple[int, ...] = (126, 252, 504), anchor: int = 252, step: int = 20) -> DataFrame:
+    """Edge histories of several window sizes on their common end dates; window_id is the anchor size's."""
+    n = returns.agg(F.countDistinct("k")).first()[0]
+    ends = [(size, window, end - size + 1, end) for end, window in common_ends(n, sizes, anchor, step) for size in sizes]
+    spans = returns.sparkSession.createDataFrame(ends, "window_size int, window_id int, first int, last int")  # a row per window and size
+    dates = returns.select("k", "t").distinct().withColumn("i", F.row_number().over(W.orderBy("k")) - 1)
+    w = W.partitionBy("window_size", "window_id")
+    inside = dates.join(F.broadcast(spans), (F.col("i") >= F.col("first")) & (F.col("i") <= F.col("last"))).select("window_size", "window_id", "k", F.min("t").over(w).alias("window_start"), F.max("t").over(w).alias("window_end"))
+    rows = returns.select("k", "entity", "ret").join(inside, "k")
+    return apply_groups(rows, ["window_size", "window_id"], lambda g: _fit_window(g, alpha, ["window_size"]), "window_size int, " + HISTORY)
 
 
 def common_ends(n: int, sizes: tuple[int, ...] = (126, 252, 504), anchor: int = 252, step: int = 20) -> list[tuple[int, int]]:

@@ -135,7 +135,7 @@ def e4_pearson(s, d):
 
 @query
 def e5_covariance(s, d):
-    """Listwise-complete covariance of the nations' order values."""
+    """Listwise-complete covariance of the brands' returns."""
     return D.covariance(returns(s, d))
 
 
@@ -308,6 +308,17 @@ def e22_rolling_glasso(s, d):
     return S.rolling_glasso(daily_returns(s, d), 0.1, 15, 5)
 
 
+@query
+def e23_window_sizes(s, d):
+    """Sparse networks of three window sizes on their common end dates."""
+    return S.window_sizes(daily_returns(s, d), 0.1, (10, 15, 20), 15, 3)
+
+
+@query
+def t2_occupation_layer(s, d):
+    return G.occupation_layer(G.spanning_tree(pairs(s, d)))
+
+
 # --- comparison ------------------------------------------------------------------------------------------------------
 
 
