@@ -66,7 +66,10 @@ def present(terms: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7) -> Machine:
-    """Logistic loss with weight decay, full-batch Adam; rows: indices of the terms of each text."""
+    """Logistic loss with weight decay, full-batch Adam; rows: indices of the terms of each text.
+
+    Toxic rows are the rarer ones and weigh more, by the square root of the odds.
+    """
     n, m = len(rows), len(terms)
     share = float(labels.mean()) if n else 0.0
     if n == 0 or share in (0.0, 1.0) or m == 0:
@@ -75,6 +78,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, f
     theta = np.concatenate([[np.log(share / (1 - share))], np.zeros(m), np.random.default_rng(seed).normal(0, 0.02, m * factors)])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     decay = np.concatenate([[0.0], np.full(m, 2e-4), np.full(m * factors, 2e-3)])
+    weigh = np.where(labels > 0, np.sqrt((1 - share) / share), 1.0) / n
     sum_rows = lambda x: np.bincount(row, weights=x, minlength=n)
     sum_cols = lambda x: np.bincount(col, weights=x, minlength=m)
     for step in range(1, steps + 1):
@@ -82,7 +86,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, f
         sums = np.stack([sum_rows(v[col, f]) for f in range(factors)], axis=1)
         squares = sum_rows((v[col] ** 2).sum(axis=1))
         z = theta[0] + sum_rows(w[col]) + 0.5 * ((sums**2).sum(axis=1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels) / n
+        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels) * weigh
         by_col = sum_cols(error[row])
         grad_v = np.stack([sum_cols(error[row] * sums[row, f]) for f in range(factors)], axis=1) - by_col[:, None] * v
         grad = np.concatenate([[error.sum()], by_col, grad_v.ravel()]) + decay * theta
