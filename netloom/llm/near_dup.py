@@ -16,7 +16,9 @@ Links by hubs.  Every set is verified against the hubs of its keys: linear in
 the rows, and enough to join most sets of one component.
 
 R-tree join.  A key whose sets are still in different components is searched
-completely: the sets' shingle counts in ``DIMENSIONS`` hash groups are points,
+completely, twice: first only a spanning forest of the surviving pairs is
+verified, which joins nearly all that belongs together; then every surviving
+pair that still lies between components.  In a search the sets' shingle counts in 64 to 256 hash groups are points,
 bulk-loaded into an R-tree; the overlap of two sets is at most the sum of the
 coordinate minima, and that of a set and a node at most the sum of minima with
 the node's upper corner, which must reach t/(1+t) * (|A|+|B|).  Surviving pairs
@@ -43,11 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import connected
 from .hashing import U, mix, shingles, word_hashes
 from .session import durable, map_arrow
 
-DIMENSIONS = 64
+#: Hash groups of a count vector by the bytes of a count; a vector has 256 bytes, and the finest kind that holds its counts is used.
+DIMENSIONS = {1: 256, 2: 128, 4: 64}
+#: Bits of the filter that keeps texts without any shared key from being hashed to sets and shuffled; its size is fixed.
+FILTER_BITS = 1 << 23
 BLOCK = 4096
 LEAF = 32
 SKETCH = "id long, n long, sid long, counts binary, lead array<long>, tail array<long>"
@@ -102,6 +108,28 @@ def group_keys(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def count_vector(items: np.ndarray) -> bytes:
+    """Shingles by hash group: a byte for the width of a count, and 256 bytes of counts."""
+    fine = np.bincount((items & U(255)).astype(np.int64), minlength=256)
+    for width, groups in DIMENSIONS.items():
+        counts = fine.reshape(-1, groups).sum(axis=0)
+        if counts.max() < 1 << 8 * width or width == 4:
+            return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    raise AssertionError
+
+
+def vectors(counts: list[bytes], width: int | None = None) -> np.ndarray:
+    """Count vectors as rows of the coarsest of their kinds (coarser groups are sums of finer ones)."""
+    widths = np.array([x[0] for x in counts])
+    width = width or int(widths.max(initial=1))
+    out = np.empty((len(counts), DIMENSIONS[width]), f"<u{width}")
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        rows = np.frombuffer(b"".join(counts[i][1:] for i in at), f"<u{w}").reshape(len(at), -1)
+        out[at] = rows if w == width else rows.reshape(len(at), -1, DIMENSIONS[width]).sum(axis=1)
+    return out
+
+
 # --- the sketch of each text ---------------------------------------------------------------------------------
 
 
@@ -115,7 +143,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             sids.append(sid)
             if len(items) and sid not in seen:
                 seen.add(sid)
-                counts.append(np.bincount((items & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype("<u4").tobytes())
+                counts.append(count_vector(items))
                 keys.append(group_keys(items, percent).view(np.int64))
             else:
                 counts.append(None)
@@ -163,7 +191,7 @@ class CountTree:
     """R-tree over count vectors, bulk-loaded in sort-tile order by size and the widest coordinates."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        wide = np.argsort(-points.var(axis=0), kind="stable")[:2]
+        wide = np.argsort(-points.astype(np.float32).var(axis=0), kind="stable")[:2]
         self.order = np.lexsort([points[:, wide[1]], points[:, wide[0]], sizes])
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = [self._up(self.points, self.sizes)]
@@ -179,7 +207,7 @@ class CountTree:
         """Rows whose overlap bound with the point can reach the threshold."""
 
         def passes(rows: np.ndarray, upper: np.ndarray, least: np.ndarray) -> np.ndarray:
-            bound = np.minimum(upper[rows], point).sum(axis=1)
+            bound = np.minimum(upper[rows], point).sum(axis=1, dtype=np.int64)
             return rows[bound * (100 + percent) >= percent * (size + least[rows])]
 
         rows = np.arange(len(self.levels[-1][1]))
@@ -191,16 +219,31 @@ class CountTree:
         return self.order[passes(rows, self.points, self.sizes)]
 
 
-def _tree_pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Surviving pairs of different components: right rows are looked up in a tree of the left ones."""
+def _tree_pairs(group: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
+    """Surviving pairs of different components, right rows looked up in a tree of the left ones; or a spanning forest of them."""
     left, right = group[group.side != 1], group[group.side != 0]
-    out_a, out_b = [], []
+    out_a, out_b, parent = [], [], {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     if len(left) and len(right):
-        points = lambda x: np.frombuffer(b"".join(x.counts), dtype="<u4").reshape(-1, DIMENSIONS).astype(np.int64)
-        tree, comp, sid = CountTree(points(left), left.n.to_numpy()), left.comp.to_numpy(), left.sid.to_numpy()
-        for p, n, c, s in zip(points(right), right.n, right.comp, right.sid, strict=True):
+        width = max(x[0] for x in group.counts)
+        tree, comp, sid = CountTree(vectors(list(left.counts), width), left.n.to_numpy()), left.comp.to_numpy(), left.sid.to_numpy()
+        for p, n, c, s in zip(vectors(list(right.counts), width), right.n, right.comp, right.sid, strict=True):
             hit = tree.search(p, n, percent)
             hit = hit[comp[hit] != c]
+            if forest and len(hit):
+                _, first = np.unique(comp[hit], return_index=True)
+                joins = []
+                for h in hit[first]:
+                    x, y = root(int(comp[h])), root(int(c))
+                    if x != y:
+                        parent[x] = y
+                        joins.append(h)
+                hit = np.array(joins, dtype=np.int64)
             out_a.append(np.minimum(sid[hit], s))
             out_b.append(np.maximum(sid[hit], s))
     pairs = pd.DataFrame({"a": np.concatenate([*out_a, np.empty(0, np.int64)]), "b": np.concatenate([*out_b, np.empty(0, np.int64)])})
@@ -213,24 +256,80 @@ def _tree_pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose summed coordinate minima can reach the threshold."""
     for x in batches:
-        vec = lambda name, x=x: np.frombuffer(b"".join(x.column(name).to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS)
-        low = np.minimum(vec("counts_a"), vec("counts_b")).sum(axis=1, dtype=np.int64)
+        if not x.num_rows:
+            continue
+        a, b = x.column("counts_a").to_pylist(), x.column("counts_b").to_pylist()
+        both = vectors(a + b)
+        low = np.minimum(both[: len(a)], both[len(a) :]).sum(axis=1, dtype=np.int64)
         total = x.column("n_a").to_numpy() + x.column("n_b").to_numpy()
-        yield x.select(["a", "b", "n_a", "n_b"]).filter(pa.array(low * (100 + percent) >= percent * total))
+        yield x.select(["a", "b"]).filter(pa.array(low * (100 + percent) >= percent * total))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of distinct classes whose exact Jaccard reaches the threshold; docs: (id, text)."""
+def _bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the bounds of size and overlap."""
     side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
-    left = durable(map_arrow(near.select("a", "b", "n_a", "n_b", "counts_a", "counts_b"), lambda it: _bounded(it, percent), "a long, b long, n_a long, n_b long"))
-    needed = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = classes.join(needed, "sid", "left_semi").select(F.col("rep").alias("id")).distinct()
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
-    sets = map_arrow(texts, lambda it: _sets(it, k), "sid long, items array<long>").join(needed, "sid", "left_semi").dropDuplicates(["sid"])
-    items = lambda s: sets.select(F.col("sid").alias(s), F.col("items").alias(f"items_{s}"))
-    both = left.join(items("a"), "a").join(items("b"), "b").withColumn("same", F.size(F.array_intersect("items_a", "items_b")).cast("long"))
-    return durable(both.filter(f"same * 100 >= {percent} * (n_a + n_b - same)").select("a", "b"))
+    return map_arrow(near.select("a", "b", "n_a", "n_b", "counts_a", "counts_b"), lambda it: _bounded(it, percent), "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of distinct classes whose exact Jaccard reaches the threshold."""
+    pairs = durable(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    few = _among(sets, _filter_of(named))
+    items = lambda s: few.select(F.col("sid").alias(s), F.col("items").alias(f"items_{s}"))
+    both = pairs.join(items("a"), "a").join(items("b"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("same"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
+    return durable(both.filter(f"same * 100 >= {percent} * (total - same)").select("a", "b"))
+
+
+def _places(column: str) -> list:
+    return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(FILTER_BITS)).alias(f"_p{i}") for i in (1, 2)]
+
+
+def _hits(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    """Rows of a batch whose first two columns are set places of the filter."""
+    hit = np.ones(batch.num_rows, bool)
+    for i in (0, 1):
+        at = batch.column(i).to_numpy()
+        hit &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return hit
+
+
+def _among(sets: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The sets that the filter may hold: the rest aren't shuffled to a join that would drop them."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["sid", "items"]).filter(pa.array(_hits(batch, bits)))
+
+    return map_arrow(sets.select(*_places("sid"), "sid", "items"), kept, "sid long, items array<long>")
+
+
+def _filter_of(sids: DataFrame) -> np.ndarray:
+    """A bit for each of two hashes of every sid: FILTER_BITS bits, however many sids there are."""
+    words = sids.select(F.explode(F.array(*_places("sid"))).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for x in words.collect():  # at most FILTER_BITS / 64 rows
+        out[x.word] = x.bits
+    return out
+
+
+def _shared_sets(shared: DataFrame, sketch: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(sid, items) of the sets that share a key with another; all other texts stay where they are.
+
+    A row's place in the filter is looked up by its id before its text is hashed, so no text is shuffled.
+    """
+    needed = shared.select("sid").distinct()
+    bits = _filter_of(sketch.join(needed, "sid", "left_semi").select(F.coalesce("id", F.lit(-1).cast("long")).alias("sid")))
+    rows = docs.select(F.coalesce("id", F.lit(-1).cast("long")).alias("_id"), "text").select(*_places("_id"), "text")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _sets(iter([pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(_hits(batch, bits)))], names=["text"])]), k)
+
+    sets = map_arrow(rows, found, "sid long, items array<long>")
+    return durable(sets.join(needed, "sid", "left_semi").dropDuplicates(["sid"]))
 
 
 def _shared_keys(sketch: DataFrame) -> DataFrame:
@@ -247,15 +346,18 @@ def _hub_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(hubs, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
 
 
-def _tree_candidates(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of the keys whose sets are still in different components."""
+def _tree_candidates(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Surviving pairs (or a forest of them) of the keys whose sets are still in different components."""
     named = shared.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members")).filter("x <> y")
     once = open_keys.groupBy("members", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(once, "key").join(classes.select("sid", "n", "counts"), "sid")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), F.when(F.col("i") < F.col("j"), 0).when(F.col("i") > F.col("j"), 1).otherwise(2).alias("side"), "sid", "comp", "n", "counts")
-    return rows.groupBy("key", "low", "high").applyInPandas(lambda g: _tree_pairs(g, percent), "a long, b long").distinct()
+    # the work of a group is the square of its rows at worst, so partitions stay as many as asked for, whatever their bytes
+    ship(rows.sparkSession)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high")
+    return rows.groupBy("key", "low", "high").applyInPandas(lambda g: _tree_pairs(g, percent, forest), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -270,9 +372,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = durable(map_arrow(texts, lambda it: _sketch(it, k, percent), SKETCH))
     classes = durable(sketch.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.max("counts").alias("counts")))
     shared = _shared_keys(sketch)
-    links = _verified(_hub_pairs(shared), classes, texts, k, percent)
-    rest = _verified(_tree_candidates(shared, connected(links), classes, percent), classes, texts, k, percent)
-    components = connected(links.unionByName(rest))
+    sets = _shared_sets(shared, sketch, texts, k)
+    links = _verified(_bounded_pairs(_hub_pairs(shared), classes, percent), sets, percent)
+    components = connected(links)
+    for forest in (True, False):
+        more = _verified(_tree_candidates(shared, components, classes, percent, forest), sets, percent)
+        components = connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     joined = components.join(classes.select(F.col("sid").alias("node"), "rep"), "node")
     names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = joined.join(names, "component").select(F.col("node").alias("sid"), "component_id")
