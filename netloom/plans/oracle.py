@@ -356,6 +356,11 @@ SELECT *, CASE WHEN degree_role = 'Stable central' AND strength_role = 'Stable c
     "n27_threshold_summary": WITH + H + SCORE + ", lg AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM c" for m in ("turnover", "gross_edge_changes", "abs_edge_count_change")) + f"), mm AS (SELECT metric, avg(value) AS mean, stddev_samp(value) AS sd, median(value) AS med FROM lg GROUP BY 1), dd AS (SELECT metric, median(abs(value - med)) AS mad FROM lg JOIN mm USING (metric) GROUP BY 1) SELECT metric, {rs('mean', 'sd')}, {r('med', 'median')}, {r('mad')}, {r('mean + sd', 'z1_raw')}, {r('mean + 1.5 * sd', 'z1_5_raw')}, {r('mean + 2 * sd', 'z2_raw')} FROM mm JOIN dd USING (metric)",
     "n28_regimes": WITH + H + REGIME + f" SELECT window_id, network_date, regime, n_regimes, {rs('rss', 'bic_style')} FROM rg",
     "n29_regime_summary": WITH + H + RSUM + " SELECT regime, start_date, end_date, n_networks, " + rs(*[n for _, n in _RSUM]) + " FROM rsum",
+    "n30_change_points": WITH + H + RSUM + """,
+zz AS (SELECT regime, avg(f0) AS z0, avg(f1) AS z1, avg(f2) AS z2 FROM (SELECT regime, row_number() OVER (ORDER BY network_date) AS i FROM rg) JOIN fz USING (i) GROUP BY 1),
+cp AS (SELECT a.regime AS previous_regime, b.regime AS new_regime, a.end_date AS previous_end, b.start_date AS new_start, b.mean_same_edges - a.mean_same_edges AS delta_same_edges, b.mean_cross_edges - a.mean_cross_edges AS delta_cross_edges,
+       b.mean_edge_count - a.mean_edge_count AS delta_edge_count, b.mean_abs_weight - a.mean_abs_weight AS delta_mean_abs_weight, b.mean_same_ratio - a.mean_same_ratio AS delta_same_ratio,
+       sqrt((y.z0 - x.z0) ** 2 + (y.z1 - x.z1) ** 2 + (y.z2 - x.z2) ** 2) AS jump_norm FROM rsum a JOIN rsum b ON b.regime = a.regime + 1 JOIN zz x ON x.regime = a.regime JOIN zz y ON y.regime = b.regime)""" + f" SELECT previous_regime, new_regime, previous_end, new_start, {rs('delta_same_edges', 'delta_cross_edges', 'delta_edge_count', 'delta_mean_abs_weight', 'delta_same_ratio', 'jump_norm')}, {r('turnover', 'boundary_turnover')}, gross_edge_changes AS boundary_gross_edge_changes, net_edge_change AS boundary_net_edge_change, lost_edges AS boundary_lost_edges, gained_edges AS boundary_gained_edges, {r('cross_change_share', 'boundary_cross_change_share')} FROM cp LEFT JOIN s ON s.network_date = cp.new_start",
     "n31_regime_persistence": WITH + H + RPERS + f" SELECT regime, e1, e2, same_grp, n_windows, windows_selected, {rs('mean_when_selected', 'mean_abs_when_selected', 'max_abs_when_selected', 'persistence')}, is_core, is_always FROM rp",
     "n32_regime_structure": WITH + H + RPERS + f", rx AS (SELECT regime, avg(persistence) AS mean_edge_persistence, count_if(is_core) AS n_core, count_if(is_core AND same_grp) AS n_same_core, count_if(is_core AND NOT same_grp) AS n_cross_core, count_if(is_always) AS n_always, count_if(is_always AND same_grp) AS n_same_always, count_if(is_always AND NOT same_grp) AS n_cross_always FROM rp GROUP BY 1) SELECT regime, start_date, end_date, n_networks, {rs('mean_edge_count', 'mean_same_ratio', 'mean_abs_weight', 'mean_edge_persistence')}, n_core, n_same_core, n_cross_core, n_always, n_same_always, n_cross_always, {r('n_same_core / nullif(n_core, 0)', 'same_share_of_core')} FROM rsum JOIN rx USING (regime)",
     "n33_regime_edge_change": WITH + H + RCHANGE + f" SELECT e1, e2, same_grp, regime_before, regime_after, {rs('persistence_before', 'persistence_after', 'delta_persistence', 'abs_delta')}, core_before, core_after, always_before, always_after, core_transition FROM rc",
