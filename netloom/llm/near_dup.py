@@ -12,8 +12,7 @@ sets share; a set also uses the bands above that a partner can lie in.  A
 pair above the threshold therefore always meets under a key.  Rows of one Arrow batch that share a key are
 combined before the shuffle: one of them, the hub, goes on for all.
 
-Links by hubs.  Every set is verified against the hubs of its keys: linear in
-the rows, and enough to join most sets of one component.
+Links by hubs.  Every set is verified against the hub that it shares most keys with: a pair a set, and enough to join most sets of one component.
 
 R-tree join.  A key whose sets are still in different components is searched
 completely, twice: first only a spanning forest of the surviving pairs is
@@ -342,8 +341,10 @@ def _shared_keys(sketch: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """For each set the hub that it shares most keys with, the likeliest link; the tree search finds what this leaves out."""
     hubs = shared.groupBy("key").agg(F.min("sid").alias("a"))
-    return shared.join(hubs, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    met = shared.join(hubs, "key").filter("sid <> a").groupBy(F.col("sid").alias("b"), "a").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
 
 
 def _tree_candidates(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
