@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .session import durable
+
 GRAM = 4
 GAP = 3
 LEAST_SHARE = 0.4
@@ -81,7 +83,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     both = rows.select("_id", "_text", F.get(F.transform(F.array("_words"), grams_of), F.lit(0)).alias("_grams"))
     votes = both.select("_id", "_text", F.explode_outer("_grams").alias("g")).select("_id", "_text", "g.*").join(grams, ["hash", "check"])
     key = ["_id", "_text", "template"]
-    diagonals = votes.select(*key, "label", "base", "n_grams", "n_template", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    # matches are few; kept, both kinds of template read them and the texts are scanned once
+    diagonals = durable(votes.select(*key, "label", "base", "n_grams", "n_template", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct())
     exact = diagonals.filter("base").groupBy(*key, "label", "base", "n_grams", "n_template", "diagonal").agg(F.count(F.lit(1)).alias("n")).filter("n = n_grams")
     exact = exact.select(*key, "label", "base", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_template") - 1).alias("last_word"), F.lit(1.0).alias("share"))
     order = W.partitionBy(*key).orderBy("diagonal")
