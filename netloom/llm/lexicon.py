@@ -23,6 +23,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,9 @@ from . import tokens
 from .session import map_arrow
 
 LEXICON = 1 << 16
-MEMO = 1 << 18
+MEMO = 1 << 19
+#: Words that are looked up together.
+CHUNK = 1 << 17
 #: The public split pattern for texts in which every number character is a decimal digit.
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER_NUMBERS = re.compile("[²³¹¼½¾]")
@@ -76,6 +79,11 @@ def merge_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[p] for p in parts]
 
 
+def merger(path: str):
+    """word -> ids by the same merging, compiled."""
+    return tokens.ranked(path, tokens.FULL_PATTERN)._encode_single_piece
+
+
 # --- the automaton -------------------------------------------------------------------------------------------
 
 
@@ -138,6 +146,7 @@ class Lexicon:
             arrays.append(np.memmap(path, kind, "r", at, (int(n),)) if n else np.empty(0, kind))
             at += int(n) * np.dtype(kind).itemsize
         self.keys, self.targets, self.adds, self.final, self.ends, self.ids = arrays
+        self.starts, self.flat = self.ends.tolist(), memoryview(self.ids).cast("B") if len(self.ids) else memoryview(b"")
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word in the lexicon, or -1."""
@@ -162,7 +171,7 @@ class Lexicon:
         return place
 
     def ids_at(self, place: int) -> bytes:
-        return self.ids[self.ends[place] : self.ends[place + 1]].tobytes()
+        return self.flat[4 * self.starts[place] : 4 * self.starts[place + 1]]
 
 
 # --- encoding and decoding -----------------------------------------------------------------------------------
@@ -172,33 +181,52 @@ class Coder:
     """Encodes and decodes whole texts; words met before are remembered, MEMO at most."""
 
     def __init__(self, lexicon: Lexicon, json_path: str, ranks_path: str):
-        self.lexicon, self.json_path, self.rank = lexicon, json_path, ranks(ranks_path)
+        self.lexicon, self.json_path, self.merge = lexicon, json_path, merger(ranks_path)
         self.memo: dict[str, bytes] = {}
-        self.symbol = {i: b for b, i in self.rank.items()}
+        self.symbol = {i: b for b, i in ranks(ranks_path).items()}
         for i, x in tokens.library(json_path).get_added_tokens_decoder().items():
             self.symbol[i] = x.content.encode()
 
     def learn(self, words: set[str]) -> None:
         new = list(words)
         raw = [w.encode() for w in new]
-        for word, b, place in zip(new, raw, self.lexicon.places(raw), strict=True):
-            self.memo[word] = self.lexicon.ids_at(place) if place >= 0 else np.array(merge_word(b, self.rank), "<u4").tobytes()
+        for word, place in zip(new, self.lexicon.places(raw).tolist(), strict=True):
+            self.memo[word] = bytes(self.lexicon.ids_at(place)) if place >= 0 else array("I", self.merge(word)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit values."""
-        if not tokens.is_plain(text, self.json_path):
-            return np.array(tokens.library(self.json_path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = split_words(text)
-        new = set(words).difference(self.memo)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the new words of some texts are looked up together."""
+        held: list[list[str] | bytes] = []
+        new: set[str] = set()
+        size = 0
+        for text in texts:
+            if tokens.is_plain(text, self.json_path):
+                words = split_words(text)
+                new.update(words)
+                size += len(words)
+                held.append(words)
+            else:
+                held.append(np.array(tokens.library(self.json_path).encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            if size > CHUNK:
+                yield from self._joined(held, new)
+                held, new, size = [], set(), 0
+        yield from self._joined(held, new)
+
+    def _joined(self, held: list[list[str] | bytes], words: set[str]) -> Iterator[bytes]:
+        new = words.difference(self.memo)
         if new:
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
-                new = set(words)
+                new = words
             self.learn(new)
-        return b"".join(map(self.memo.__getitem__, words))
+        for x in held:
+            yield x if isinstance(x, bytes) else b"".join(map(self.memo.__getitem__, x))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.symbol.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.symbol.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=1)
@@ -240,8 +268,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         coder = _coder(name, json_path, ranks_path)
         for batch in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for row in range(batch.num_rows):
-                ids = coder.encode(batch.column(1)[row].as_py() or "")
+            for ids in coder.encode_all([x or "" for x in batch.column(1).to_pylist()]):
                 text = coder.decode(ids)
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())

@@ -31,7 +31,7 @@ def default_path(name: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def _ranked(path: str, pattern: str):
+def ranked(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
@@ -62,4 +62,4 @@ def encode(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """The library's ids of a whole text (add_special_tokens=False) as unsigned 32-bit values."""
     if not is_plain(text, json_path):
         return np.array(library(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
-    return _ranked(ranks_path, FULL_PATTERN if _SPACES.search(text) else SINGLE_SPACE_PATTERN).encode_to_numpy(text).astype("<u4", copy=False)
+    return ranked(ranks_path, FULL_PATTERN if _SPACES.search(text) else SINGLE_SPACE_PATTERN).encode_to_numpy(text).astype("<u4", copy=False)
