@@ -1,11 +1,12 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
-Candidates are runs of at least ``LEAST`` key characters.  Their features are
+Candidates are runs of at least ``LEAST`` key characters, and runs of any length
+that follow a secret word and an assignment sign, or hold both.  Their features are
 length, character classes and transitions, entropy, the share covered by
 dictionary words and common letter pairs, path signs, and the words and signs
 around them.  The forest is trained on findings labelled by construction:
 ``labelled_findings`` writes keys of public formats into assignments
-(secret) and identifiers, digests, paths, words, numbers and
+(secret) and identifiers, digests, paths, words, numbers, settings and
 placeholders into their usual surroundings (not secret).
 
 Defined cases: null and empty texts have no findings; equal rows have equal
@@ -34,10 +35,14 @@ MARK = "[SECRET]"
 THRESHOLD = 0.5
 CONTEXT = 48
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{%d,}" % LEAST)
+#: An assignment sign and the run after it (a longer one is a candidate anyway), which a quote may open; the sign may be a run's own character.
+_ASSIGNED = re.compile(r"""(?:=>|:=|=|:)[ \t]*["'`]?([A-Za-z0-9_+/=\-]{1,%d})""" % LEAST)
 
 #: Words that come before secrets, and before harmless identifiers.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "accesskey", "auth", "bearer", "credential", "private", "key")
 HARMLESS_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "guid", "revision", "hash", "etag", "version", "build", "order", "phone", "card", "example", "isbn", "invoice", "path", "file", "http", "https")
+#: A secret word at the end of what stands before an assignment sign.
+_NAMED = re.compile(r"""(?:%s)[a-z0-9_\-]*["'`\])]?\s*$""" % "|".join(SECRET_WORDS), re.IGNORECASE)
 #: Frequent English words of four letters and more, for dictionary coverage.
 DICTIONARY = (
     "that with this from have they which their would there about when make like time just know take people into year your good some could them other than then look only come over think also back after work first well even want because these give most "
@@ -94,22 +99,29 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     word = lambda k: "".join(pick(syllables) for _ in range(k))
     text = lambda: " ".join(word(int(r.integers(1, 4))) for _ in range(4))
     out = []
+    settings = ["none", "null", "true", "false", "undefined", "required", "optional", "string", "str", "int", "value", "name", "default", "empty", "hidden", "env", "self", "request", "text", "yes", "no"]
+    leet = str.maketrans("aeio", "4310")
     for i in range(n):
+        short = i % 2 and r.random() < 0.2
         value = pick([
             lambda: run(hexa, int(pick([32, 40, 40, 40, 48, 64]))), lambda: run(alnum, int(r.integers(20, 65))), lambda: run(base64, int(r.integers(24, 88))) + pick(["", "=", "=="]),
             lambda: pick(["AKIA", "ASIA"]) + run(lower.upper() + digits, 16), lambda: pick(["ghp_", "gho_", "ghs_"]) + run(alnum, 36), lambda: pick(["sk_live_", "sk-", "rk_live_"]) + run(alnum, 32),
-            lambda: "xoxb-" + run(digits, 12) + "-" + run(alnum, 24), lambda: "AIza" + run(alnum, 35),
+            lambda: "xoxb-" + run(digits, 12) + "-" + run(alnum, 24), lambda: "AIza" + run(alnum, 35), lambda: run(pick([lower, lower + lower.upper()]), int(r.integers(16, 33))),
         ])() if i % 2 else ""
+        if short:
+            value = pick([lambda: run(alnum, int(r.integers(6, 16))), lambda: run(lower, int(r.integers(8, 16))), lambda: run(hexa, int(r.integers(8, 16))), lambda: pick([str, str.capitalize])(word(int(r.integers(2, 5))).translate(leet))[:10] + run(digits, int(r.integers(1, 5)))])()
         if value:
             if r.random() < 0.15:
                 value = value.upper() if _is_hex(value) else value
             name = pick(["token", "api_key", "apikey", "secret", "password", "auth_token", "access_key", "client_secret", "TOKEN", "API_KEY", "key", "Bearer"])
-            link = pick([' = "', '="', ": ", '": "', " = ", "=", " ", " = '"]) if name != "Bearer" else " "
+            if short and name == "Bearer":
+                name = "password"
+            link = pick([' = "', '="', ": ", '": "', " = ", "=", ": " if short else " ", " = '"]) if name != "Bearer" else " "
             out.append((value, text() + " " + name + link, pick(['"', '"', '" ', " ", "'", '"!!', "\n"]) + text(), 1))
             if value[:4] in ("AKIA", "ghp_", "xoxb", "AIza") and r.random() < 0.5:
                 out[-1] = (value, text() + " ", " " + text(), 1)
             continue
-        kind = int(r.integers(12))
+        kind = int(r.integers(15))
         before, after = text() + " ", " " + text()
         if kind <= 2:
             value = word(int(r.integers(7, 16)))[: int(r.integers(16, 40))].ljust(16, "e")
@@ -133,9 +145,18 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
             value = pick(["-", "_"]).join(word(2) for _ in range(int(r.integers(4, 8))))
         elif kind == 10:
             value = pick(["=", "-", "_"]) * int(r.integers(16, 60))
-        else:
+        elif kind == 11:
             value = word(5) + pick(["_", "="]) + word(3) + run(digits, 2)
-        value = value if len(value) >= LEAST else value + "e" * (LEAST - len(value))
+        elif kind == 12:
+            value = "".join(pick([pick(DICTIONARY), word(2)]).capitalize() for _ in range(int(r.integers(4, 7)))).ljust(LEAST, "e")
+            value = pick([str, lambda v: v[0].lower() + v[1:]])(value)
+        else:
+            value = pick([lambda: pick(settings), lambda: pick(["get", "load", "read", "to"]) + pick([word(2), "password", "token", "key"]).capitalize(), lambda: pick(DICTIONARY), lambda: word(int(r.integers(1, 4))), lambda: run(digits, int(r.integers(1, 4)))])()
+            value = pick([str, str, str.capitalize])(value)
+            before += pick(["token", "api_key", "secret", "password", "auth", "author", "key", "keyword", "private", "max_tokens"]) + pick([" = ", ": ", ' = "', '": "', ": str = ", " = '"])
+            after = pick(["", "(", '"', ",", ";"]) + after
+        if kind <= 12:
+            value = value if len(value) >= LEAST else value + "e" * (LEAST - len(value))
         out.append((value, before, after, 0))
     return out
 
@@ -202,18 +223,33 @@ def forest() -> list[tuple[np.ndarray, ...]]:
 # --- scan ----------------------------------------------------------------------------------------------------
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs that the forest decides on, in order."""
+    out = {m.span() for m in _CANDIDATE.finditer(text)}
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        (a, b), sign = m.span(1), m.start()
+        at = m.start(1)  # a run may hold a sign of its own
+        if a > 0 and _is_key(text[a - 1]):  # the sign is a character of the run
+            while a > 0 and b - a < LEAST and _is_key(text[a - 1]):
+                a -= 1
+        if b - a < LEAST and any(c.isalnum() for c in text[m.start(1) : b]) and _NAMED.search(text[max(0, sign - CONTEXT) : sign]):
+            out.add((a, b))
+    return sorted(out)
+
+
+def _is_key(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c in "_+/=-")
+
+
 def find(texts: list[str | None], trees: list[tuple[np.ndarray, ...]], threshold: float = THRESHOLD) -> list[list[tuple[int, int, float]]]:
     """For each text, (start, length, score) of its secrets."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     at, rows = [], []
     for i, text in enumerate(texts):
-        for m in _CANDIDATE.finditer(text or ""):
-            value = m[0]
-            if value.isalpha():  # a run of letters alone has no key's transitions
-                continue
-            a, b = m.span()
+        for a, b in candidates(text or ""):
             at.append((i, a, b - a))
-            rows.append(features(value, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]))
+            rows.append(features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]))
     if rows:
         for (i, a, n), p in zip(at, predict(trees, np.array(rows)), strict=True):
             if p >= threshold:

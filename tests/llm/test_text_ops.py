@@ -253,6 +253,22 @@ def test_secrets_are_found_and_replaced(spark):
     assert cleaned[2].text == rows[1][1] and cleaned[5].text is None and cleaned[6].text.count("[SECRET]") == 2
 
 
+def test_letter_runs_and_short_assigned_values_reach_the_forest(spark):
+    r = random.Random(3)
+    letters = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20)) for _ in range(50)]
+    texts = [f'the token = "{x}" is' for x in letters] + ['password = "s3cr3tPw9"', "x pwd=abc1x9 y", "token = None", "author: Smith", "words and wordy words", "getElementByIdentifier", "Donaudampfschifffahrtsgesellschaft"]
+    found = defaultdict(set)
+    for x in secret_scans.scan_secrets(frame(spark, list(enumerate(texts)))).collect():
+        found[x.doc_id].add(texts[x.doc_id][x.start : x.start + x.length])
+    assert sum(found[i] == {x} for i, x in enumerate(letters)) >= 48
+    assert [found[i] for i in range(50, 57)] == [{"s3cr3tPw9"}, {"pwd=abc1x9"}, set(), set(), set(), set(), set()]
+
+
+def test_candidates_take_linear_time():
+    for text in ("=" * 400_000, "key=" * 100_000, "key: " * 100_000):
+        assert len(secret_scans.candidates(text)) <= 100_000
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 
