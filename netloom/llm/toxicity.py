@@ -7,9 +7,10 @@ an interaction that additive weights miss.
 
 Training takes at most ``SAMPLE`` labelled rows (those with the smallest hashed
 ids, so the choice doesn't depend on partitions).  The ``TERMS`` terms whose
-presence tells most about the label (log-likelihood ratio) are the
-model's terms; all others are ignored in scoring.  Scoring is one pass over
-the texts.
+presence tells most about the label (log-likelihood ratio) are the model's
+terms, and with them all terms of pairs that make a text more likely toxic
+than either does alone, by the ratio of their joint presence (``telling_pairs``);
+the others are ignored in scoring.  Scoring is one pass over the texts.
 
 Defined cases: null and empty texts score by the bias alone; rows without a
 label, with a null label or with a null id are scored, not learned from; a
@@ -103,6 +104,69 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["toxic", "terms"])
 
 
+def _gain(n, t, share: float):
+    """Log-likelihood ratio (nats) of n rows with t toxic ones."""
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+    return part(t, n * share) + part(n - t, n * (1 - share))
+
+
+def pair_gain(n_terms: int) -> float:
+    """Least gain of a pair: chance gives no more of n_terms ** 2 / 2 pairs than LEAST_GAIN lets through of n_terms terms."""
+    return LEAST_GAIN + float(np.log(max(n_terms / 2, 1.0)))
+
+
+def _bits(rows: list[np.ndarray], m: int) -> np.ndarray:
+    """For each of m terms a bit for each row that has it."""
+    has = np.zeros((m, len(rows)), bool)
+    for i, x in enumerate(rows):
+        has[x, i] = True
+    return np.packbits(has, axis=1)
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, m: int, block: int = 512) -> list[tuple[int, int]]:
+    """All pairs of the m terms that are toxic together: their joint ratio passes each one's own by ``pair_gain`` and the toxic share is above the base.
+
+    A pair's ratio falls with every clean row that has it, so counts over the toxic rows and as many
+    clean ones bound it from above; only pairs that pass the bound are counted over all rows.
+    """
+    n_rows, share = len(rows), float(labels.mean()) if len(rows) else 0.0
+    if m < 2 or share in (0.0, 1.0):
+        return []
+    # the toxic rows first, then the clean ones, in columns of bits: memory is an eighth of a byte a term and row
+    order, n_toxic = np.argsort(-labels, kind="stable"), int(labels.sum())
+    bits = np.concatenate([_bits([rows[i] for i in order[a : a + 4096]], m) for a in range(0, n_rows, 4096)], axis=1)
+    n_some = min(n_rows, 2 * n_toxic)
+    floats = lambda a, b: np.unpackbits(bits[a:b, : -(-n_some // 8)], axis=1, count=n_some).astype(np.float32)
+    least = pair_gain(m)
+    own_t = np.concatenate([floats(a, a + block)[:, :n_toxic].sum(axis=1, dtype=float) for a in range(0, m, block)])
+    own = _gain(np.bitwise_count(bits).sum(axis=1, dtype=float), own_t, share)
+    rest = []
+    for a in range(0, m, block):
+        left = floats(a, a + block)
+        for b in range(a, m, block):
+            right = floats(b, b + block)
+            t = left[:, :n_toxic] @ right[:, :n_toxic].T
+            needed = least + np.maximum(own[a : a + block, None], own[None, b : b + block])
+            # the ratio of t toxic rows is at most t * log(1 / share): few pairs need more than this
+            i, j = np.nonzero(t * -np.log(share) >= needed)
+            keep = i + a < j + b
+            i, j = i[keep], j[keep]
+            if len(i):
+                low = (t + left[:, n_toxic:] @ right[:, n_toxic:].T)[i, j].astype(float)
+                t = t[i, j].astype(float)
+                keep = (t > low * share) & (_gain(low, t, share) >= needed[i, j])
+                rest.append(np.stack([i[keep] + a, j[keep] + b, t[keep].astype(np.int64)]))
+    if not rest:
+        return []
+    out = []
+    for part in np.array_split(np.concatenate(rest, axis=1), range(4096, sum(x.shape[1] for x in rest), 4096), axis=1):
+        i, j, t = part
+        n = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        pass_ = (t > n * share) & (n >= LEAST_ROWS) & (_gain(n.astype(float), t.astype(float), share) - np.maximum(own[i], own[j]) >= least)
+        out += list(zip(i[pass_].tolist(), j[pass_].tolist(), strict=True))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: int = TERMS) -> Machine:
     """The machine, learned from at most ``sample`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(_id AS string)) % 3 <> 1").groupBy("_id").agg(F.max("toxic").alias("toxic"))
@@ -118,18 +182,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gain = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = gain(t_col, n_col * max(share, 1e-9)) + gain(n_col - t_col, n_col * max(1 - share, 1e-9))
     best = [x.term for x in counts.filter(ratio >= LEAST_GAIN).orderBy(F.round(ratio, 9).desc(), "term").limit(terms).select("term").collect()]
-    kept = np.sort(np.array(best, dtype=np.int64).view(U))
-    short = map_arrow(rows, lambda it: _shortened(it, kept), "toxic int, terms array<long>")
-    data = short.collect()  # at most `sample` rows of at most `terms` indices
-    data = sorted((x.toxic, tuple(sorted(x.terms))) for x in data)
-    texts_of = [present(kept, np.array(x, dtype=np.int64).view(U)) for _, x in data]
-    return fit_machine(texts_of, np.array([t for t, _ in data], dtype=float), kept)
+    # a pair that passes has LEAST_GAIN / log(1 / share) toxic rows, so each of its terms has
+    likely = [] if share in (0.0, 1.0) else counts.filter(t_col * float(-np.log(share)) >= LEAST_GAIN).select("term").collect()
+    both = np.sort(np.array(list({*best, *(x.term for x in likely)}), dtype=np.int64).view(U))
+    short = map_arrow(rows, lambda it: _shortened(it, both), "toxic int, places binary")
+    data = sorted((x.toxic, bytes(x.places)) for x in short.collect())  # at most `sample` rows of four bytes a term
+    texts_of, known_as = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in data], np.array([t for t, _ in data], dtype=float)
+    own = present(both, np.array(best, dtype=np.int64).view(U))
+    kept = np.unique(np.concatenate([own, np.array(telling_pairs(texts_of, known_as, len(both)), dtype=np.int64).ravel()]))
+    return fit_machine([present(kept, x) for x in texts_of], known_as, both[kept])
 
 
 def _shortened(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [kept[present(kept, np.array(x, dtype=np.int64).view(U))].view(np.int64) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], names=["toxic", "terms"])
+        own = [present(kept, np.array(x, dtype=np.int64).view(U)).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["toxic", "places"])
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:

@@ -235,6 +235,41 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), machine).count() == 0
 
 
+def test_training_finds_pairs_that_are_neutral_alone(spark):
+    """Toxic is only who says both of two words, and each alone is as toxic as any text."""
+    r = random.Random(12)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(1500):
+        kind = i % 20  # of 20, 2 have both and are toxic, 12 have one, 3 are toxic for a word of their own: 5 toxic, and 2 of 8 with either
+        extra = ["zork", "blib"] if kind < 2 else ["zork"] if kind < 8 else ["blib"] if kind < 14 else ["vrumpf"] if kind < 17 else []
+        rows.append((i, " ".join(r.sample(plain, 12) + extra)))
+        labels.append((i, 1, int(kind < 2 or 14 <= kind < 17)))
+    docs = frame(spark, rows)
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    probe = {x.doc_id: x.score for x in toxicity.score(frame(spark, [(1, "waa zork wba blib"), (2, "waa zork wba"), (3, "waa blib wba"), (4, "waa vrumpf")]), machine).collect()}
+    assert min(probe[1], probe[4]) >= 0.7 > 0.5 > max(probe[2], probe[3])
+
+
+def test_pairs_equal_brute_force():
+    r = np.random.default_rng(3)
+    labels = (r.random(900) < 0.1).astype(float)
+    rows = [np.unique(np.concatenate([r.integers(0, 30, 6), [30, 31] if y and r.random() < 0.5 else [30 + int(r.integers(2))]])) for y in labels]
+    share, least, want = labels.mean(), toxicity.pair_gain(32), []
+
+    def gain(at):
+        n, t = len(at), labels[at].sum()
+        return sum(a * np.log(a / b) for a, b in ((t, n * share), (n - t, n * (1 - share))) if a), n and t > n * share
+
+    has = [np.array([i for i, x in enumerate(rows) if k in x]) for k in range(32)]
+    for i in range(32):
+        for j in range(i + 1, 32):
+            joint, up = gain(np.intersect1d(has[i], has[j]))
+            if up and joint - max(gain(has[i])[0], gain(has[j])[0]) >= least:
+                want.append((i, j))
+    assert want and sorted(toxicity.telling_pairs(rows, labels, 32, block=8)) == want
+
+
 def test_forest_on_held_out_findings():
     rows = secret_scans.labelled_findings(1500, seed=99)
     x, y = np.array([secret_scans.features(*r[:3]) for r in rows]), np.array([r[3] for r in rows])
