@@ -25,7 +25,8 @@ of different components are verified exactly on the whole sets.  Keys with
 more than ``BLOCK`` sets are searched block against block.
 
 No cap, sample or prefix is used anywhere: every pair at or above the threshold
-is verified or already inside one component.
+is verified or already inside one component.  ``jaccard_links`` verifies those
+inside a component too, and counts each row's links.
 
 Defined cases: null and empty texts (and texts of white space) have no
 shingles and are linked with nothing, each its own component; a text of fewer than k words has
@@ -379,12 +380,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for forest in (True, False):
         more = _verified(_tree_candidates(shared, components, classes, percent, forest), sets, percent)
         components = connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return _with_components(sketch, classes, components).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _with_components(sketch: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """The sketch's rows: id, sid, n_shingles, component_id."""
     joined = components.join(classes.select(F.col("sid").alias("node"), "rep"), "node")
     names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = joined.join(names, "component").select(F.col("node").alias("sid"), "component_id")
     names = classes.select("sid", "rep").join(linked, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketch.select("id", "n", "sid").join(names, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "sid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, n_links, component_id.
+
+    n_links counts the other rows that a row links with, its copies included.
+    Every pair of different sets that survives the trees is verified, whether or
+    not a component holds both already, so the work of a family of near copies
+    is the number of its pairs.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketch = durable(map_arrow(texts, lambda it: _sketch(it, k, percent), SKETCH))
+    classes = durable(sketch.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.max("counts").alias("counts"), F.count(F.lit(1)).alias("rows")))
+    shared = _shared_keys(sketch)
+    apart = classes.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("component"))
+    links = _verified(_tree_candidates(shared, apart, classes, percent, False), _shared_sets(shared, sketch, texts, k), percent)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("sid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("others"))
+    counted = classes.join(linked, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = _with_components(sketch, classes, connected(links)).join(counted, "sid", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

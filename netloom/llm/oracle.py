@@ -29,6 +29,8 @@ SELECT doc_id, n AS n_shingles, component_id FROM n JOIN m USING (doc_id)
 """
 )
 
+NEAR_LINKS = NEAR_DUP.replace("n AS n_shingles, component_id", "n AS n_shingles, (SELECT count(*) FROM e WHERE e.i = n.doc_id) AS n_links, component_id")
+
 
 def _licenses() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"

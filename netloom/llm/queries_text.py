@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .exact_dedup import mark_copies
-from .near_dup import jaccard_components
+from .near_dup import jaccard_components, jaccard_links
 from .packing import pack
 from .secret_scans import scan_secrets
 from .session import table
@@ -49,5 +49,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_secret_scans": op3_secret_scans, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard_join": oracle.NEAR_DUP}
+def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_secret_scans": op3_secret_scans, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op9_ngram_jaccard_links": op9_ngram_jaccard_links}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_ngram_jaccard_join": oracle.NEAR_DUP, "op9_ngram_jaccard_links": oracle.NEAR_LINKS}

@@ -68,6 +68,19 @@ def test_components_equal_brute_force(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_links_equal_brute_force(spark, k, percent):
+    rows = near_copies()
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    links = {i: sum(j != i and bool(a) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    want = {i: (n, links[i], c) for i, (n, c) in brute_components(rows, k, percent).items()}
+    got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in nd.jaccard_links(frame(spark, rows), k=k, percent=percent).collect()}
+    assert got == want and sum(links.values()) > 2 * len(rows)
+
+
 def test_large_keys_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 16)
     rows = near_copies(5, 50)
