@@ -122,9 +122,69 @@ def test_tree_finds_all_points_within_the_bound():
 
 
 def test_count_vectors_fold():
-    items = np.arange(100_000, dtype=np.uint64)
-    fine, coarse = nd.vectors([nd.count_vector(items)])[0], nd.vectors([nd.count_vector(items[:600])], 2)[0]
-    assert fine.sum() == 100_000 and len(fine) == 128 and coarse.sum() == 600
+    items = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    points = nd.Points([nd.count_vector(items), nd.count_vector(items[:600]), nd.count_vector(items[:20])])
+    fine, coarse = points.rows(np.array([0]), 17)[0], points.folded(np.array([0, 1]), 256)
+    assert fine.sum() == coarse[0].sum() == 100_000 and coarse[1].sum() == 600 and coarse.shape == (2, 256)
+    assert (coarse[0] == fine.reshape(-1, 256).sum(axis=0)).all() and (coarse[0] == np.bincount((items & np.uint64(255)).astype(int))).all()
+    both = points.overlap(np.array([0, 0, 1, 2]), np.array([0, 1, 2, 2]))
+    assert both[0] == 100_000 and both[1] == np.minimum(*points.folded(np.array([0, 1]), 1024)).sum() >= 600 and both[2] >= 20 == both[3]
+    same = np.arange(100, dtype=np.uint64) << np.uint64(5)  # 15 is the most that half a byte holds
+    assert nd.Points([nd.count_vector(same)]).folded(np.array([0]), 64).sum() == 100
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_routing_is_complete_for_long_sets_too(percent):
+    r = np.random.default_rng(percent)
+    for n in (5, 17, 40, 300, 700, 2000, 5000):
+        for _ in range(12):
+            u = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            gone = int(r.integers(0, len(u) - len(u) * percent // 100 + 1))
+            most = (100 * (len(u) - gone)) // percent - len(u)  # so many more keep the Jaccard at the threshold
+            v = np.sort(np.concatenate([r.permutation(u)[gone:], r.integers(0, 1 << 63, max(most, 0), dtype=np.uint64)]))
+            same = len(np.intersect1d(u, v))
+            if 100 * same >= percent * len(np.union1d(u, v)):
+                assert len(np.intersect1d(nd.group_keys(u, percent), nd.group_keys(np.unique(v), percent)))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unlike_sets_share_no_keys(percent):
+    """Empty groups give no keys, so sets without a common shingle don't meet."""
+    r = np.random.default_rng(percent)
+    keys = [nd.group_keys(np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), percent) for n in [*range(1, 60), 100, 300, 300, 301, 1000, 5000, 5001] for _ in range(5)]
+    flat = np.concatenate([np.unique(x) for x in keys])
+    assert len(np.unique(flat)) == len(flat)
+
+
+def test_packed_keys_meet_across_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    own = [np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(6)]
+    words = [" ".join(f"w{x % 9973}" for x in o[:200].tolist()) for o in own]
+    words = words + [words[0] + " tail", words[1] + " tail", words[2]]
+    want: dict[int, set[int]] = defaultdict(set)
+    made = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([w])], names=["id", "text_hash", "text"]) for i, w in enumerate(words)]
+    for w in words:
+        items = nd.shingles(next(word_hashes(pa.array([w])))[1], 3)
+        for x in nd._labels(nd.group_keys(items, 90), 4)[1].view(np.int64).tolist():
+            want[x].add(nd.set_id(items))
+    want = {(x, s) for x, sids in want.items() if len(sids) > 1 for s in sids}
+    for parts in (made, [pa.Table.from_batches(made).combine_chunks().to_batches()[0]]):
+        rows = list(nd._sketch(iter(parts), 3, 90, 4))
+        tail = {(x, s) for b in rows for xs, s in zip(b.column(5).to_pylist(), b.column(3).to_pylist(), strict=True) for x in xs}
+        packed = [b.select(["bucket", "keys", "at", "sids"]) for b in rows if b.column(6).null_count == 0]
+        met = {x for b in nd._meeting(iter(packed)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        assert want and met | tail == want
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, text), (1, text + " end"), (1, text), (2, text), (None, text + " z"), (None, "other words that nobody else has at all"), (None, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x", 5, 6) for i, t in rows], "doc_id long, text string, _near_id string, id long, _near_row long").repartition(3)
+    kept = nd.keep_one(docs, k=5, percent=80)
+    out = kept.collect()
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in out) == {1: 1, None: 2, 7: 2}
 
 
 def test_word_hashes_do_not_depend_on_blocks():
