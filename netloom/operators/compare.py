@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import median, ratio, safe_corr
+from .dependence import matrix_of
 
 PEARSON_STRONG, PARTIAL_STRONG, NEAR_ZERO, MEANINGFUL = 0.5, 0.2, 0.05, 0.05
 #: Names of the relations between a pair's Pearson and partial correlation.
@@ -67,6 +68,11 @@ def pair_comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
+def attenuation_matrix(compared: DataFrame) -> DataFrame:
+    """(row, col, value): |Pearson| - |partial| of every pair, both ways, 0 on the diagonal."""
+    return matrix_of(compared, "attenuation", 0.0)
+
+
 def comparison_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg("pearson").alias("mean_pearson"), F.avg("partial").alias("mean_partial"), F.avg("abs_pearson").alias("mean_abs_pearson"), F.avg("abs_partial").alias("mean_abs_partial"),

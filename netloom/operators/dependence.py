@@ -86,6 +86,25 @@ def correlation_of(cov: DataFrame) -> DataFrame:
     return _with_diagonal(cov).select("row", "col", F.when(F.col("row") == F.col("col"), 1.0).otherwise(F.col("value") / F.sqrt(F.col("d1") * F.col("d2"))).alias("value"))
 
 
+def correlation_agreement(returns: DataFrame) -> DataFrame:
+    """(n_cells, max_direct, max_matrix, agree): how far apart the correlations of complete rows are, taken directly, from the covariances and as D^-1/2 S D^-1/2."""
+    cov = covariance(returns)
+    full = complete_rows(returns)
+    a, b = full.select("k", F.col("entity").alias("row"), F.col("ret").alias("x")), full.select("k", F.col("entity").alias("col"), F.col("ret").alias("y"))
+    direct = a.join(b, "k").groupBy("row", "col").agg(safe_corr("x", "y").alias("direct"))
+    scaled = _with_diagonal(cov).select("row", "col", (1 / F.sqrt("d1") * F.col("value") * (1 / F.sqrt("d2"))).alias("matrix"))
+    cells = correlation_of(cov).join(direct, ["row", "col"]).join(scaled, ["row", "col"])
+    out = cells.agg(F.count(F.lit(1)).alias("n_cells"), F.max(F.abs(F.col("value") - F.col("direct"))).alias("max_direct"), F.max(F.abs(F.col("value") - F.col("matrix"))).alias("max_matrix"))
+    return out.withColumn("agree", F.greatest("max_direct", "max_matrix") <= 1e-12)
+
+
+def describe(values: DataFrame, name: str) -> DataFrame:
+    """(statistic, value) of a column: count, mean, sample sd, least, quartiles by linear interpolation, largest."""
+    known = values.filter(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("x"))
+    row = known.agg(F.count("x").cast("double").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *[F.percentile("x", F.lit(p / 100)).alias(f"{p}%") for p in (25, 50, 75)], F.max("x").alias("max"))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(f"`{c}`").alias("value")) for c in row.columns])))
+
+
 def partial_of(precision: DataFrame) -> DataFrame:
     """-omega_ij / sqrt(omega_ii omega_jj), 1 on the diagonal; a diagonal that isn't positive raises."""
     guarded = F.when((F.col("d1") > 0) & (F.col("d2") > 0), -F.col("value") / F.sqrt(F.col("d1") * F.col("d2"))).otherwise(F.raise_error(F.lit("diagonal of a precision matrix must be positive")).cast("double"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS, isclose, median, ratio, row_mean, row_sd, safe_corr, variation
 from ..shipping import apply_groups
-from .graph import incidence
+from .graph import components, incidence
 
 PERSISTENT, LARGE_SHIFT = 0.8, 0.5
 Keys = tuple[str, ...]
@@ -91,6 +91,15 @@ def window_nodes(history: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
+def window_components(history: DataFrame) -> DataFrame:
+    """(window_id, n_components, largest): connected components of each window's selected edges, isolated nodes counted."""
+    name = lambda c: F.concat_ws("|", F.col("window_id"), F.col(c))
+    nodes = history.select("window_id", F.explode(F.array("e1", "e2")).alias("node")).distinct().select(name("node").alias("entity"))
+    found = components(nodes, history.filter("selected").select(name("e1").alias("e1"), name("e2").alias("e2")))
+    found = found.withColumn("window_id", F.substring_index("entity", "|", 1).cast("int"))
+    return found.groupBy("window_id").agg(F.countDistinct("component").alias("n_components"), F.max("component_size").alias("largest"))
+
+
 def average_rank(by: list[str], value: str) -> Column:
     """Descending rank with ties at their mean."""
     order, ties = W.partitionBy(*by).orderBy(F.col(value).desc()), W.partitionBy(*by, value)
@@ -324,6 +333,30 @@ def lifecycle_classes(table: DataFrame, active_non_core: bool = False) -> DataFr
     return out.withColumn("share", ratio(F.col("n_edges"), F.sum("n_edges").over(W.partitionBy("relation"))))
 
 
+#: Columns of the classes that relation summaries count.
+CLASS_COLUMNS = {"persistent_core": "Persistent core", "regime_dependent": "Regime-dependent", "intermittent": "Intermittent", "two_episode": "Two-episode transitional", "rare": "Rare"}
+
+
+def relation_lifecycles(table: DataFrame, active_non_core: bool = False) -> DataFrame:
+    """By relation: pairs, mean persistence, transition rate, episodes, longest run and its share, and the number and rate of each class.
+
+    With active_non_core only pairs below the core that are selected in three windows or more.
+    """
+    rows = table.filter((F.col("persistence") < PERSISTENT) & (F.col("windows_selected") >= 3)) if active_non_core else table
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    out = rows.withColumn("relation", relation()).groupBy("relation").agg(
+        F.count(F.lit(1)).alias("n_pairs"), mean("persistence").alias("mean_persistence"), mean("transition_rate").alias("mean_transition_rate"), mean("n_episodes").alias("mean_episodes"),
+        mean("longest_run").alias("mean_longest_run"), mean("longest_run_share").alias("mean_longest_run_share"), *[_count(F.col("lifecycle_class") == v).alias(f"{c}_edges") for c, v in CLASS_COLUMNS.items()],
+    )
+    return out.withColumns({f"{c}_rate": ratio(f"{c}_edges", "n_pairs") for c in CLASS_COLUMNS})
+
+
+def disagreements(classed: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs that only the static or only the dynamic network has, with their lifecycle."""
+    only = classed.filter(F.col("stability_class").isin("Static stable only", "Dynamic persistent only")).select("e1", "e2", "stability_class")
+    return only.join(table, ["e1", "e2"], "left")
+
+
 def class_counts(table: DataFrame, column: str, classes: list[str]) -> DataFrame:
     """(class, n) of all classes, absent ones with 0."""
     all_of = table.sparkSession.createDataFrame([(c,) for c in classes], "class string")
@@ -493,6 +526,12 @@ def regime_change_summary(change: DataFrame) -> DataFrame:
     return out.withColumn("core_jaccard", F.when(F.col("_union") == 0, 1.0).otherwise(ratio("common_core", "_union"))).drop("_union")
 
 
+def by_class_order(df: DataFrame, column: str, classes: list[str], *then: Column) -> DataFrame:
+    """df sorted by a column's place in a list of classes (others last), then by further columns."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column))
+    return df.orderBy(F.when(place > 0, place).asc_nulls_last(), *then)
+
+
 def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 

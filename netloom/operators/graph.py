@@ -17,7 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from ..shipping import apply_groups
+from ..shipping import apply_groups, checkpoint_folder, map_batches
+
+
+#: Nodes from which one task searches shortest paths.
+SOURCES = 256
 
 
 def distance(weight: str = "weight"):
@@ -77,12 +81,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the shared folder (a local one where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="netloom-"))
+    """df behind a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -131,6 +131,9 @@ def common_graph(history: DataFrame, ids: list[int]) -> DataFrame:
 # --- one graph in one task -----------------------------------------------------------------------------------
 
 
+TREE = "e1 string, e2 string, weight double, distance double"
+
+
 def _tree_rows(rows: pd.DataFrame) -> pd.DataFrame:
     parent: dict[str, str] = {}
 
@@ -152,7 +155,32 @@ def _tree_rows(rows: pd.DataFrame) -> pd.DataFrame:
 
 def spanning_tree(pairs: DataFrame, name: str = "weight") -> DataFrame:
     """(e1, e2, weight, distance) of the minimum spanning tree by distance; equal distances in order of (e1, e2)."""
-    return apply_groups(distance_graph(pairs, name), [], _tree_rows, "e1 string, e2 string, weight double, distance double")
+    return apply_groups(map_batches(distance_graph(pairs, name), _forest, TREE), [], _tree_rows, TREE)
+
+
+def _forest(batches):
+    """The spanning forest of a partition's pairs; the tree of all pairs is the tree of the partitions' forests."""
+    held = None
+    for batch in batches:
+        held = _tree_rows(batch if held is None else pd.concat([held, batch]))
+    if held is not None:
+        yield held
+
+
+def spanning_trees(history: DataFrame) -> DataFrame:
+    """(window_id, e1, e2, weight, distance) of each window's minimum spanning tree over all its pairs that have a weight."""
+    rows = history.filter("weight IS NOT NULL").select("window_id", "e1", "e2", "weight", distance().alias("distance"))
+    return apply_groups(rows, ["window_id"], lambda g: _tree_rows(g).assign(window_id=g["window_id"].iloc[0]), f"window_id int, {TREE}")
+
+
+def tree_survival(trees: DataFrame) -> DataFrame:
+    """(window_from, window_to, n_edges, n_common, survival): the share of a tree's edges that the next window's tree keeps."""
+    numbers = trees.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    numbers = numbers.withColumn("window_to", F.lead("window_id").over(W.orderBy("window_id"))).filter("window_to IS NOT NULL")  # a row per window
+    keys = trees.select("window_id", "e1", "e2")
+    common = keys.join(numbers, "window_id").join(keys.select(F.col("window_id").alias("window_to"), "e1", "e2"), ["window_to", "e1", "e2"]).groupBy("window_id").agg(F.count(F.lit(1)).alias("n_common"))
+    out = numbers.join(common, "window_id", "left").withColumn("n_common", F.coalesce("n_common", F.lit(0)))
+    return out.select(F.col("window_id").alias("window_from"), "window_to", "n_edges", "n_common", ratio("n_common", "n_edges").alias("survival"))
 
 
 def tree_length(tree: DataFrame) -> DataFrame:
@@ -181,12 +209,14 @@ def _paths(names: list[str], near: dict[str, list[tuple[str, float]]], source: s
 
 
 def _central(rows: pd.DataFrame, weighted: bool) -> pd.DataFrame:
+    """What the sources of one block give: closeness of each, and their share of every node's betweenness."""
     names = sorted(rows["entity"].unique())
     near: dict[str, list[tuple[str, float]]] = {x: [] for x in names}
     for r in rows.dropna(subset=["other"]).itertuples(index=False):
         near[r.entity].append((r.other, r.distance if weighted else 1.0))
     between, close, n = dict.fromkeys(names, 0.0), {}, len(names)
-    for s in names:
+    block, blocks = int(rows["block"].iloc[0]), int(rows["blocks"].iloc[0])
+    for s in names[block::blocks]:
         length, count, before, order = _paths(names, near, s)
         total, reach = sum(length.values()), len(length)
         close[s] = (reach - 1) / total * (reach - 1) / (n - 1) if total > 0 and n > 1 else 0.0
@@ -197,14 +227,20 @@ def _central(rows: pd.DataFrame, weighted: bool) -> pd.DataFrame:
             if x != s:
                 between[x] += owed[x]
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return pd.DataFrame({"entity": names, "betweenness": [between[x] * scale for x in names], "closeness": [close[x] for x in names]})
+    return pd.DataFrame({"entity": names, "betweenness": [between[x] * scale for x in names], "closeness": [close.get(x) for x in names]})
 
 
 def path_centrality(nodes: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:
-    """(entity, betweenness, closeness): normalised betweenness, and closeness scaled by the share of nodes reached; by distance or by hops."""
+    """(entity, betweenness, closeness): normalised betweenness, and closeness scaled by the share of nodes reached; by distance or by hops.
+
+    The graph goes to a task for every SOURCES of its nodes, which searches from these.
+    """
     length = "distance" if "distance" in edges.columns else F.lit(1.0).alias("distance")
     ends = incidence(edges.select("e1", "e2", length), "distance")
-    return apply_groups(nodes.select("entity").join(ends, "entity", "left"), [], lambda g: _central(g, weighted), "entity string, betweenness double, closeness double")
+    blocks = -(-nodes.count() // SOURCES) or 1
+    rows = nodes.select("entity").join(ends, "entity", "left").withColumn("blocks", F.lit(blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = apply_groups(rows, ["block"], lambda g: _central(g, weighted), "entity string, betweenness double, closeness double")
+    return parts.groupBy("entity").agg(F.sum("betweenness").alias("betweenness"), F.max("closeness").alias("closeness"))
 
 
 def node_metrics(nodes: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geomspace
+from ..functions.scalars import geomspace, ratio
 from ..shipping import apply_groups, map_batches
 from .dependence import partial_of, to_dense, to_long
 
@@ -131,10 +131,10 @@ def _components(adjacent: np.ndarray) -> int:
 
 def regularization_path(spark: SparkSession, matrix: DataFrame, alphas: list[float]) -> DataFrame:
     """One row per alpha: edges, density, components, isolates, degrees, partial strengths, iterations; one task per fit."""
-    rows = matrix.toPandas()
-    if len(rows) > DENSE_CELLS:
-        raise ValueError("matrix too large for dense estimation")
-    _, s = to_dense(rows)
+    cells = matrix.count()
+    if cells > DENSE_CELLS:
+        raise ValueError(f"{cells} cells are too many for dense estimation")
+    _, s = to_dense(matrix.toPandas())
 
     def fit(batches):
         for batch in batches:
@@ -289,6 +289,15 @@ def set_jaccards(stable: DataFrame, least: float = 0.8) -> DataFrame:
     return out.withColumn("jaccard", F.try_divide(F.col("common").cast("double"), F.nullif((F.col("n_a") + F.col("n_b") - F.col("common")).cast("double"), F.lit(0.0))))
 
 
+def baseline_retention(stable: DataFrame, baseline: DataFrame, least: float = 0.8, core: float = 0.9) -> DataFrame:
+    """By block length: stable and core pairs, and how many of the baseline's edges are stable, as a number and a share."""
+    known = stable.join(baseline.select("e1", "e2", F.lit(True).alias("_base")).distinct(), ["e1", "e2"], "left")
+    on = F.col("frequency") >= least
+    out = known.groupBy("block_length").agg(F.count_if(on).alias("n_stable"), F.count_if(F.col("frequency") >= core).alias("n_core"), F.count_if(on & F.col("_base")).alias("n_retained"))
+    total = baseline.select("e1", "e2").distinct().agg(F.count(F.lit(1)).alias("n_baseline"))
+    return out.join(total).withColumn("retention", ratio("n_retained", "n_baseline"))
+
+
 def robust_edges(stable: DataFrame, blocks: tuple[int, ...] = (10, 20, 40)) -> DataFrame:
     """One row per pair: the frequency by block length, least, mean, largest, range, and whether stable or core at all."""
     wide = stable.groupBy("e1", "e2").pivot("block_length", list(blocks)).agg(F.first("frequency"))

@@ -19,7 +19,7 @@ from ..operators import dynamics as N
 from ..operators import graph as G
 from ..operators import sparse as S
 from ..sources import tables as src
-from . import oracle
+from . import oracle, oracle_more
 
 THRESHOLD, ROLL_SIZE, ROLL_STEP, TOP, MIN_PERIODS = 0.2, 24, 3, 8, 12
 SCALES = (18, 24, 36)
@@ -192,6 +192,11 @@ def g8_path_centrality(s, d):
     return G.path_centrality(dim(s, d), edges(s, d))
 
 
+@query
+def g8_hop_centrality(s, d):
+    return G.path_centrality(dim(s, d), edges(s, d), weighted=False)
+
+
 @query
 def g10_components(s, d):
     return G.components(dim(s, d), edges(s, d))
@@ -228,6 +233,37 @@ def t1_tree_length(s, d):
     return G.tree_length(G.spanning_tree(pairs(s, d)))
 
 
+def window_trees(s, d):
+    return kept(G.spanning_trees(kept(history(s, d))))
+
+
+@query
+def t3_window_trees(s, d):
+    return window_trees(s, d)
+
+
+@query
+def t3_tree_survival(s, d):
+    return G.tree_survival(window_trees(s, d))
+
+
+@query
+def a13_describe(s, d):
+    """What describe() says of the pairs' correlations."""
+    return D.describe(pairs(s, d), "weight")
+
+
+@query
+def e6_agreement(s, d):
+    return D.correlation_agreement(returns(s, d))
+
+
+@query
+def l3_top_pairs(s, d):
+    """The 30 strongest pairs, in order."""
+    return pairs(s, d).orderBy(F.round("weight", 9).desc(), "e1", "e2").limit(30)
+
+
 @query
 def snk3_tree_layout(s, d):
     return G.tree_layout(G.spanning_tree(pairs(s, d)))
@@ -263,44 +299,109 @@ def e11_graphical_lasso(s, d):
 @query
 def e12_regularization_path(s, d):
     matrix = D.matrix_of(pairs(s, d), "weight")
-    return S.regularization_path(s, matrix, S.alpha_grid(S.alpha_max(matrix), 10, 0.3))
+    return S.regularization_path(s, matrix, S.alpha_grid(S.alpha_max(matrix)))
 
 
 def daily_returns(s, d):
     return D.log_returns(src.on_spine(src.event_panel(s, d)))
 
 
+def cv_scores(s, r):
+    return S.cross_validate(s, r, S.alpha_grid(S.alpha_max(D.correlation_of(D.covariance(r)))))
+
+
 @query
 def e14_cross_validation(s, d):
-    r = daily_returns(s, d)
-    return S.cross_validate(s, r, S.alpha_grid(S.alpha_max(D.correlation_of(D.covariance(r))), 8, 0.1))
+    return cv_scores(s, kept(daily_returns(s, d)))
 
 
 @query
 def e15_one_standard_error(s, d):
-    r = daily_returns(s, d)
-    return S.one_standard_error(S.cross_validate(s, r, S.alpha_grid(S.alpha_max(D.correlation_of(D.covariance(r))), 8, 0.1)))
+    return S.one_standard_error(cv_scores(s, kept(daily_returns(s, d))))
+
+
+BLOCKS = (3, 5, 8)
+
+
+def selected(s, d):
+    """The returns, and the alpha that the one-standard-error rule selects (or one tenth, if it selects none)."""
+    r = kept(daily_returns(s, d))
+    chosen = kept(S.one_standard_error(cv_scores(s, r)))
+    return r, 0.1 if chosen.isEmpty() else S.only_alpha(chosen)
+
+
+def block_fits(s, d):
+    return S.block_robustness(*selected(s, d), BLOCKS)
 
 
 @query
 def e17_resample_stability(s, d):
-    return S.stability(S.resample_fits(daily_returns(s, d), 0.1, 40, 5))
+    return S.stability(S.resample_fits(*selected(s, d), block=5))
 
 
 @query
 def e19_block_robustness(s, d):
-    fits = S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20)
-    return S.stability(fits, ("block_length",))
+    return S.stability(block_fits(s, d), ("block_length",))
+
+
+@query
+def e19_run_summary(s, d):
+    return S.run_summary(block_fits(s, d), ("block_length",))
 
 
 @query
 def e20_block_jaccards(s, d):
-    return S.set_jaccards(S.stability(S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20), ("block_length",)))
+    return S.set_jaccards(S.stability(block_fits(s, d), ("block_length",)))
 
 
 @query
 def e21_robust_edges(s, d):
-    return S.robust_edges(S.stability(S.block_robustness(daily_returns(s, d), 0.1, (3, 5, 8), 20), ("block_length",)), (3, 5, 8))
+    return S.robust_edges(S.stability(block_fits(s, d), ("block_length",)), BLOCKS)
+
+
+# the same counting over fits that SQL can make: every window of a size is a run, and the sizes stand for block lengths
+
+
+def window_fits(s, d):
+    on = F.when(F.col("selected"), F.col("weight")).otherwise(0.0)
+    return scales(s, d).select(F.col("window_id").alias("run"), "e1", "e2", on.alias("weight"), F.col("weight").isNotNull().alias("valid"), F.col("window_size").alias("block_length"))
+
+
+def window_stability(s, d):
+    return S.stability(window_fits(s, d), ("block_length",))
+
+
+@query
+def e18_window_stability(s, d):
+    return window_stability(s, d)
+
+
+@query
+def e18_window_runs(s, d):
+    return S.run_summary(window_fits(s, d), ("block_length",))
+
+
+@query
+def e20_window_jaccards(s, d):
+    return S.set_jaccards(kept(window_stability(s, d)), 0.5)
+
+
+@query
+def e21_robust_window_edges(s, d):
+    return S.robust_edges(window_stability(s, d), SCALES)
+
+
+@query
+def e19_baseline_retention(s, d):
+    return S.baseline_retention(window_stability(s, d), edges(s, d), 0.5)
+
+
+@query
+def e15_rule_on_a_table(s, d):
+    """The rule over a table of scores: prices by discount stand for scores by alpha."""
+    price = F.col("l_extendedprice").cast("double") / 1000
+    cv = src.table(s, d, "lineitem").groupBy(F.col("l_discount").cast("double").alias("alpha")).agg(F.avg(price).alias("mean_score"), (F.stddev_pop(price) / 50).alias("sd_score"))
+    return S.one_standard_error(cv)
 
 
 @query
@@ -378,9 +479,44 @@ def c4_node_comparison(s, d):
     return C.node_comparison(G.node_degrees(nodes, a), G.node_degrees(nodes, b), "first", "last", ("degree", "strength"))
 
 
+@query
+def c3_attenuation_matrix(s, d):
+    return C.attenuation_matrix(C.pair_comparison(two_weights(s, d)))
+
+
+@query
+def c4_node_paths(s, d):
+    """Betweenness and closeness of the first and the last window's networks, by distance."""
+    a, b = halves(s, d)
+    nodes = kept(dim(s, d))
+    far = lambda e: G.path_centrality(nodes, kept(e.withColumn("distance", G.distance())))
+    return C.node_comparison(far(a), far(b), "first", "last", ("betweenness", "closeness"))
+
+
+def methods(s, d):
+    """All pairs with three networks: thresholded full-sample correlation, the first window's and the last window's."""
+    first, last = halves(s, d)
+    return C.three_methods(pairs(s, d).withColumnRenamed("weight", "partial"), edges(s, d), first, last)
+
+
+@query
+def c5_three_methods(s, d):
+    return methods(s, d).withColumn("sign_same", F.col("sign_same").cast("string"))
+
+
+@query
+def c6_common_strong(s, d):
+    return C.common_strong(methods(s, d))
+
+
 # --- dynamics --------------------------------------------------------------------------------------------------------
 
 
+@query
+def n1_window_components(s, d):
+    return N.window_components(kept(history(s, d)))
+
+
 @query
 def e22_rolling_history(s, d):
     return history(s, d)
@@ -471,6 +607,34 @@ def n19_lifecycle_classes(s, d):
     return N.lifecycle_classes(N.lifecycle(history(s, d)))
 
 
+@query
+def n19_disagreements(s, d):
+    h = kept(history(s, d))
+    return N.disagreements(N.static_vs_dynamic(N.persistence(h), static_edges(s, d), 0.5), N.lifecycle(h).select("e1", "e2", "lifecycle_class", "n_episodes", "longest_run", "windows_selected"))
+
+
+@query
+def n22_relation_lifecycles(s, d):
+    return N.relation_lifecycles(N.lifecycle(history(s, d)))
+
+
+@query
+def n22_active_non_core(s, d):
+    return N.relation_lifecycles(N.lifecycle(history(s, d)), active_non_core=True)
+
+
+@query
+def a7_class_counts(s, d):
+    """Pairs of every lifecycle class, those without pairs too."""
+    return N.class_counts(N.lifecycle(history(s, d)), "lifecycle_class", [*N.CLASS_COLUMNS.values(), "Other"])
+
+
+@query
+def l2_class_order(s, d):
+    """Classes in their own order, by relation within."""
+    return N.by_class_order(N.lifecycle_classes(N.lifecycle(history(s, d))), "lifecycle_class", list(N.CLASS_COLUMNS.values()), F.col("relation").asc())
+
+
 @query
 def n20_transition_rates(s, d):
     return N.transition_rates(scales(s, d), ("window_size",))
@@ -582,6 +746,25 @@ def n38_contributors(s, d):
     return N.contributors(changes, N.edge_burden(N.regime_edge_change(N.regime_persistence(h, assigned))))
 
 
+@query
+def n38_top_edges(s, d):
+    """The ten pairs of each transition whose persistence changes most."""
+    return N.top_rows(regime_change(s, d).select("regime_before", "regime_after", "e1", "e2", "abs_delta"), ["regime_before", "regime_after"], [F.round("abs_delta", 9).desc(), F.col("e1"), F.col("e2")], 10)
+
+
+@query
+def n38_top_nodes(s, d):
+    """The ten nodes of each transition with the largest share of its persistence changes."""
+    burden = N.edge_burden(regime_change(s, d)).select("regime_before", "regime_after", "entity", "abs_burden", "abs_burden_share")
+    return N.top_rows(burden, ["regime_before", "regime_after"], [F.round("abs_burden_share", 9).desc(), F.col("entity")], 10)
+
+
+@query
+def l4_top_window_nodes(s, d):
+    """The three strongest nodes of each window."""
+    return N.top_rows(N.window_nodes(history(s, d)).select("window_id", "entity", "strength"), ["window_id"], [F.round("strength", 9).desc(), F.col("entity")], 3)
+
+
 @query
 def n39_window_pairs(s, d):
     return N.compare_windows(history(s, d), [(1, 2), (2, 5), (1, 10)])
@@ -601,4 +784,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.SQL | oracle_more.SQL).items() if k in _QUERIES}

@@ -26,6 +26,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where Spark itself is local, as in tests."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="netloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
+
+
 def apply_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     """applyInPandas over groups (one group without keys), with this package on the executors' path."""
     ship(df.sparkSession)

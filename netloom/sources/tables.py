@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,11 +54,13 @@ def read_edges(spark: SparkSession, path: str, weight: str) -> DataFrame:
 
 def read_optional(spark: SparkSession, path: str, fallback, **options) -> DataFrame:
     """The table if the path exists (on any file system of Spark's), else fallback()."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return read_table(spark, path, **options)
-    return fallback()
+    try:
+        spark.read.text(path).schema  # noqa: B018  resolves the path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return fallback()
+    return read_table(spark, path, **options)
 
 
 def entities_of_edges(edges: DataFrame) -> DataFrame:
@@ -68,8 +71,11 @@ def entities_of_edges(edges: DataFrame) -> DataFrame:
     return both.dropDuplicates(["entity"])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV files with a header, in UTF-8; each begins with a byte-order mark, as spreadsheets want it."""
+    first, *rest = df.columns
+    named = df.withColumnRenamed(first, "\ufeff" + first) if mark else df
+    named.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_wide(long: DataFrame, path: str) -> None:
