@@ -26,14 +26,16 @@ Keys = tuple[str, ...]
 def rolling_pearson(returns: DataFrame, dim: DataFrame, size: int = 24, step: int = 3, least: float = 0.3, min_periods: int = 3) -> DataFrame:
     """An edge history from pairwise-complete correlations over count-based windows; selected at abs >= least.
 
-    Pair products are made once per date and summed by a row frame, so the panel isn't copied into its windows.
+    Pair products are made once per date and summed by a frame of dates, so the panel isn't copied into its windows; a
+    pair has a row for every window at whose last date both entities are listed.  Each entity's mean is taken off first,
+    which correlations don't see and sums of squares do.
     """
     dates = returns.select("k", "t").distinct().withColumn("i", F.row_number().over(W.orderBy("k")) - 1)
-    rows = returns.select("k", "entity", "ret")
+    rows = returns.select("k", "entity", (F.col("ret") - F.avg("ret").over(W.partitionBy("entity"))).alias("ret"))
     a, b = rows.select("k", F.col("entity").alias("e1"), F.col("ret").alias("x")), rows.select("k", F.col("entity").alias("e2"), F.col("ret").alias("y"))
     both = a.join(b, "k").filter("e1 < e2").join(F.broadcast(dates), "k")  # one row per date
     ok = F.col("x").isNotNull() & F.col("y").isNotNull()
-    frame = W.partitionBy("e1", "e2").orderBy("i").rowsBetween(-(size - 1), 0)
+    frame = W.partitionBy("e1", "e2").orderBy("i").rangeBetween(-(size - 1), 0)
     total = lambda c: F.sum(F.when(ok, c)).over(frame)
     sums = both.select("e1", "e2", "i", F.col("t").alias("network_date"), F.first("t").over(frame).alias("window_start"), F.count_if(ok).over(frame).alias("n"), total(F.col("x")).alias("sx"), total(F.col("y")).alias("sy"), total(F.col("x") * F.col("x")).alias("sxx"), total(F.col("y") * F.col("y")).alias("syy"), total(F.col("x") * F.col("y")).alias("sxy"))
     sums = sums.filter((F.col("i") >= size - 1) & ((F.col("i") - (size - 1)) % step == 0))

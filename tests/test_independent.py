@@ -277,3 +277,13 @@ def test_files(spark, tmp_path):
     assert {(r.row, r.col): r.value for r in src.read_matrix(spark, str(tmp_path / "m.csv")).collect()}["000002", "000001"] == 0.5
     (tmp_path / "p.csv").write_text("date,000001,000002\n2024-01-02,1.5,\n2024-01-03,2.5,3.5\n", encoding="utf-8-sig")
     assert src.read_wide_panel(spark, str(tmp_path / "p.csv")).filter("value IS NOT NULL").count() == 3
+
+
+def test_rolling_correlation_keeps_its_digits_and_its_windows(spark):
+    x = panel(40, 13) + 1e5  # a large mean costs digits where it isn't taken off
+    df = frame(spark, x).filter("NOT (entity = 's2' AND k IN (5, 6, 20))")  # rows that are missing, not null
+    dim = spark.createDataFrame([(n, "g") for n in NAMES], "entity string, grp string")
+    for r in N.rolling_pearson(df, dim, 12, 4).collect():
+        last = 11 + (r.window_id - 1) * 4
+        rows = [k for k in range(last - 11, last + 1) if not ("s2" in (r.e1, r.e2) and k + 1 in (5, 6, 20))]
+        assert r.weight == pytest.approx(np.corrcoef(x[rows, NAMES.index(r.e1)], x[rows, NAMES.index(r.e2)])[0, 1], abs=1e-6)
