@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,13 +14,20 @@ _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+def own_folder() -> str:
+    """A folder of the driver's for files that are sent with the job; it goes when the driver ends."""
+    path = tempfile.mkdtemp(prefix="netloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for each application."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     if _ROOT.is_dir():
-        target = Path(tempfile.mkdtemp(prefix="netloom-")) / "netloom_pkg.zip"
+        target = Path(own_folder()) / "netloom_pkg.zip"
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(_ROOT.rglob("*.py")):
                 z.write(p, p.relative_to(_ROOT.parent))
@@ -33,7 +42,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="netloom-")
+        path = "file://" + own_folder()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
