@@ -24,9 +24,10 @@ another adds a candidate and never loses one.
 Links by hubs.  Every set is compared with the hub that it shares most keys with: a pair a set, and enough to join most sets of one component.
 
 R-tree join.  A key whose sets are still in different components is searched
-completely, twice: first only a spanning forest of the surviving pairs is
-verified, which joins nearly all that belongs together; then every surviving
-pair that still lies between components.  A set's shingle counts in hash
+completely.  A spanning forest of the surviving pairs is verified first, which
+joins nearly all that belongs together.  Keys with other surviving pairs, if their
+sets are in different components even then, are searched again, and every
+surviving pair between components is verified.  A set's shingle counts in hash
 groups are a point; the overlap of two sets is at most the sum of the
 coordinate minima, and that of a set and a node of the tree at most the sum of
 minima with the node's upper corner, which must reach t/(1+t) * (|A|+|B|).  The tree holds
@@ -50,6 +51,7 @@ not null; an empty table gives an empty result; other columns are ignored, and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log1p, sqrt
@@ -78,7 +80,7 @@ SEEDS = 8
 #: Bits of the filter of wanted rows for each of them, and at most; beyond that it lets more through, which a join drops.
 FILTER_BITS = 16
 MOST_FILTER_BITS = 1 << 26
-SKETCH = "id long, text_hash long, n long, sid long, counts binary, tail array<long>, bucket int, keys binary, at binary, sids binary"
+SKETCH = "id long, text_hash long, n long, sid long, counts binary"
 
 
 # --- size bands and group keys -------------------------------------------------------------------------------
@@ -222,62 +224,76 @@ def _labels(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, bucket << U(40) | keys & U((1 << 40) - 1)
 
 
-def _doc_rows(batch: pa.RecordBatch, k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    sizes, sids, counts, keys, seen = [], [], [], [], set()
-    for _, words in word_hashes(batch.column(2)):
+def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text; its count vector if no row of the batch before it has the same set."""
+    for batch in batches:
+        sizes, sids, counts, seen = [], [], [], {0}
+        for _, words in word_hashes(batch.column(2)):
+            items = shingles(words, k)
+            sizes.append(len(items))
+            sids.append(set_id(items))
+            counts.append(None if sids[-1] in seen else count_vector(items))
+            seen.add(sids[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(counts, pa.binary())], names=["id", "text_hash", "n", "sid", "counts"])
+
+
+def _packed(bucket: int, known: bool, keys: np.ndarray, row: np.ndarray, sids: np.ndarray) -> tuple:
+    """Keys of the rows ``row`` of a batch: five bytes each, or eight of those that are known to meet."""
+    rows, place = np.unique(row, return_inverse=True)
+    eight = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bucket, known, (eight if known else np.ascontiguousarray(eight[:, :5])).tobytes(), place.astype("<u2").tobytes(), sids[rows].tobytes()
+
+
+def _batch_keys(column: pa.Array, k: int, percent: int, buckets: int) -> Iterator[tuple]:
+    sids, keys, seen = [], [], {0}
+    for _, words in word_hashes(column):
         items = shingles(words, k)
-        sizes.append(len(items))
-        sid = set_id(items)
-        sids.append(sid)
-        first = len(items) > 0 and sid not in seen
-        seen.add(sid)
-        counts.append(count_vector(items) if first else None)
-        keys.append(group_keys(items, percent) if first else np.empty(0, U))
+        sids.append(set_id(items))
+        keys.append(np.empty(0, U) if sids[-1] in seen else group_keys(items, percent))
+        seen.add(sids[-1])
     flat, row = np.concatenate([*keys, np.empty(0, U)]), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-    sids = np.array(sids, dtype=np.int64)
+    sids = np.array(sids, dtype="<i8")
     own, first, inverse, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-    # keys that several rows of the batch have are known to meet
+    # keys that several rows of the batch have are known to meet: they go anywhere
     met = np.flatnonzero(times[inverse] > 1)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row[met], minlength=len(keys)))]).astype(np.int32)
-    tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(_labels(flat[met], buckets)[1].view(np.int64)))
-    n, none = batch.num_rows, lambda kind, n: pa.nulls(n, kind)
-    yield pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids), pa.array(counts, pa.binary()), tail, none(pa.int32(), n), *[none(pa.binary(), n)] * 3], names=_NAMES
-    )
-    # one row of the batch sends its key on, to the task of the key's bucket
+    for part in (met[i : i + (1 << 16)] for i in range(0, len(met), 1 << 16)):
+        yield _packed(int(zlib.crc32(flat[part].tobytes()) % buckets), True, _labels(flat[part], buckets)[1], row[part], sids)
+    # and one row of the batch sends its key on, to the task of the key's bucket
     bucket, _ = _labels(own, buckets)
-    five = np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
     numbers, starts = np.unique(bucket, return_index=True)
-    packed: list[list] = [[], [], [], []]
     for number, a, b in zip(numbers.tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True):
-        rows, place = np.unique(row[first[a:b]], return_inverse=True)
-        for column, value in zip(packed, (number, five[a:b].tobytes(), place.astype("<u2").tobytes(), sids[rows].tobytes()), strict=True):
-            column.append(value)
-    n = len(packed[0])
-    tail = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
-    columns = [none(pa.int64(), n)] * 4 + [none(pa.binary(), n), tail, pa.array(packed[0], pa.int32()), *[pa.array(x, pa.binary()) for x in packed[1:]]]
-    yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
-
+        yield _packed(number, False, own[a:b], row[first[a:b]], sids)
 
-_NAMES = ["id", "text_hash", "n", "sid", "counts", "tail", "bucket", "keys", "at", "sids"]
 
-
-def _sketch(batches: Iterator[pa.RecordBatch], k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and the packed keys of each batch by bucket."""
+def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The packed keys of each batch, by bucket."""
     for batch in batches:
         for a in range(0, batch.num_rows, 1 << 14):  # a row's place in a part fits two bytes
-            yield from _doc_rows(batch.slice(a, 1 << 14), k, percent, buckets)
+            made = list(_batch_keys(batch.column(0).slice(a, 1 << 14), k, percent, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, (_, t) in enumerate(_PACKED)], names=[n for n, _ in _PACKED])
+
+
+_PACKED = [("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("at", pa.binary()), ("sids", pa.binary())]
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, sid) of the keys of two or more sets, from all packed rows of some buckets."""
+
+    def made(label: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(label), 1 << 19):
+            yield pa.RecordBatch.from_arrays([pa.array(label[a : a + (1 << 19)].view(np.int64)), pa.array(sid[a : a + (1 << 19)].astype(np.int64))], names=["key", "sid"])
+
     labels, sids = [np.empty(0, U)], [np.empty(0, np.int64)]
     for batch in batches:
-        for bucket, keys, at, names in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for bucket, known, keys, at, names in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            sid = np.frombuffer(names, "<i8")[np.frombuffer(at, "<u2")]
+            if known:
+                yield from made(np.frombuffer(keys, "<u8").astype(U), sid)
+                continue
             eight = np.zeros((len(keys) // 5, 8), np.uint8)
             eight[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
             labels.append(eight.view("<u8").ravel().astype(U) | U(bucket << 40))
-            sids.append(np.frombuffer(names, "<i8")[np.frombuffer(at, "<u2")])
+            sids.append(sid)
     label, sid = np.concatenate(labels), np.concatenate(sids)
     del labels, sids
     order = np.lexsort((sid, label))
@@ -288,17 +304,17 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = np.zeros(len(label) + 1, bool)
     same[1:-1] = label[1:] == label[:-1]
     met = same[1:] | same[:-1]
-    label, sid = label[met].view(np.int64), sid[met]
-    for a in range(0, len(label), 1 << 19):
-        yield pa.RecordBatch.from_arrays([pa.array(label[a : a + (1 << 19)]), pa.array(sid[a : a + (1 << 19)])], names=["key", "sid"])
+    yield from made(label[met], sid[met])
 
 
-def _shared_keys(sketch: DataFrame, buckets: int) -> DataFrame:
-    """(key, sid) of all keys that two or more different sets have."""
-    packed = sketch.filter("bucket IS NOT NULL").select("bucket", "keys", "at", "sids").repartitionById(buckets, "bucket")
-    met = map_arrow(packed, _meeting, "key long, sid long")
-    tail = sketch.filter("bucket IS NULL").select(F.explode("tail").alias("key"), "sid")
-    return durable(met.unionByName(tail).distinct())
+def _shared_keys(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, sid) of all keys that two or more different sets have.
+
+    The packed keys aren't stored: they go from the texts straight into the shuffle.
+    """
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = map_arrow(texts.select("text"), lambda it: _keys(it, k, percent, buckets), "bucket int, known boolean, keys binary, at binary, sids binary")
+    return durable(map_arrow(packed.repartitionById(buckets, "bucket"), _meeting, "key long, sid long").distinct())
 
 
 # --- R-tree --------------------------------------------------------------------------------------------------
@@ -393,7 +409,10 @@ def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the surviving pairs of different components in sorted groups; or a spanning forest of those of the partition."""
+    """(a, b, again) of the surviving pairs of different components in sorted groups.
+
+    With forest, only a spanning forest of the partition's pairs, and for each key that has other pairs a row with the key as a, and again.
+    """
     trees, held, done = _Forest(), None, False
     batches = iter(batches)
     while not done:
@@ -415,11 +434,19 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> It
             continue
         a, b, over = _candidates(ready, percent)
         sid, comp = ready.column("sid").to_numpy(), ready.column("comp").to_numpy()
+        keep = np.ones(len(a), bool)
         if forest:
-            likely = np.argsort(-over, kind="stable")
-            keep = [i for i in likely.tolist() if trees.joins(int(comp[a[i]]), int(comp[b[i]]))]
-            a, b = a[keep], b[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[b]), pa.int64()), pa.array(np.maximum(sid[a], sid[b]), pa.int64())], names=["a", "b"])
+            for i in np.argsort(-over, kind="stable").tolist():
+                keep[i] = trees.joins(int(comp[a[i]]), int(comp[b[i]]))
+        again = np.unique(ready.column("key").to_numpy()[a[~keep]])
+        a, b = a[keep], b[keep]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.minimum(sid[a], sid[b]), again]), pa.int64()), pa.array(np.concatenate([np.maximum(sid[a], sid[b]), np.zeros(len(again), np.int64)]), pa.int64()),
+                pa.array(np.arange(len(a) + len(again)) >= len(a)),
+            ],
+            names=["a", "b", "again"],
+        )
 
 
 # --- the join ------------------------------------------------------------------------------------------------
@@ -533,12 +560,12 @@ def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _tree_candidates(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Surviving pairs (or a forest of them) of the keys whose sets are still in different components."""
+    """(a, b, again) of the keys whose sets are still in different components."""
     named = shared.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members")).filter("x <> y")
     once = open_keys.groupBy("members", "size").agg(F.min("key").alias("key"))
     rows = _dealt(named, "key", BLOCK, once).join(classes.select("sid", "n", "counts"), "sid").select("key", "low", "high", "side", "sid", "comp", "n", "counts")
-    return map_arrow(_gathered(rows, "key", "low", "high"), lambda it: _search(it, percent, forest), "a long, b long").distinct()
+    return durable(map_arrow(_gathered(rows, "key", "low", "high"), lambda it: _search(it, percent, forest), "a long, b long, again boolean").distinct())
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -546,17 +573,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = durable(map_arrow(texts, lambda it: _sketch(it, k, percent, buckets), SKETCH))
-    sketch = both.filter("bucket IS NULL").select("id", "text_hash", "n", "sid", "counts")
+    sketch = durable(map_arrow(texts, lambda it: _sketch(it, k), SKETCH))
     first = F.struct(F.col("id").isNull().alias("late"), "id", "text_hash")
     classes = durable(sketch.filter("n > 0").groupBy("sid").agg(F.min(first).alias("first"), F.min("n").alias("n"), F.max("counts").alias("counts"), F.count(F.lit(1)).alias("rows")))
-    shared = _shared_keys(both, buckets)
+    shared = _shared_keys(texts, k, percent)
     components = connected(_verified(_bounded_pairs(_hub_pairs(shared), classes, percent), classes, texts, k, percent))
-    for forest in (True, False):
-        more = _verified(_tree_candidates(shared, components, classes, percent, forest), classes, texts, k, percent)
-        if not more.isEmpty():
-            components = connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        more = _verified(pairs, classes, texts, k, percent)
+        return components if more.isEmpty() else connected(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    found = _tree_candidates(shared, components, classes, percent, True)
+    components = joined(found.filter("NOT again").select("a", "b"))
+    rest = shared.join(found.filter("again").select(F.col("a").alias("key")), "key", "left_semi")
+    components = joined(_tree_candidates(rest, components, classes, percent, False).select("a", "b"))
     return texts, sketch, classes, components
 
 

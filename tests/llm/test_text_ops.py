@@ -164,18 +164,29 @@ def test_packed_keys_meet_across_batches():
     words = [" ".join(f"w{x % 9973}" for x in o[:200].tolist()) for o in own]
     words = words + [words[0] + " tail", words[1] + " tail", words[2]]
     want: dict[int, set[int]] = defaultdict(set)
-    made = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([w])], names=["id", "text_hash", "text"]) for i, w in enumerate(words)]
+    made = [pa.RecordBatch.from_arrays([pa.array([w])], names=["text"]) for w in words]
     for w in words:
         items = nd.shingles(next(word_hashes(pa.array([w])))[1], 3)
         for x in nd._labels(nd.group_keys(items, 90), 4)[1].view(np.int64).tolist():
             want[x].add(nd.set_id(items))
     want = {(x, s) for x, sids in want.items() if len(sids) > 1 for s in sids}
     for parts in (made, [pa.Table.from_batches(made).combine_chunks().to_batches()[0]]):
-        rows = list(nd._sketch(iter(parts), 3, 90, 4))
-        tail = {(x, s) for b in rows for xs, s in zip(b.column(5).to_pylist(), b.column(3).to_pylist(), strict=True) for x in xs}
-        packed = [b.select(["bucket", "keys", "at", "sids"]) for b in rows if b.column(6).null_count == 0]
-        met = {x for b in nd._meeting(iter(packed)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
-        assert want and met | tail == want
+        packed = list(nd._keys(iter(parts), 3, 90, 4))
+        assert set(packed[0].column(0).to_pylist()) <= {0, 1, 2, 3}
+        assert {x for b in nd._meeting(iter(packed)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)} == want != set()
+
+
+def test_keys_with_more_pairs_than_the_forest_are_searched_again():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i:], r.integers(0, 1 << 63, i, dtype=np.uint64)])) for i in range(4)]
+    rows = pa.table({"key": [7] * 4 + [9] * 2, "low": [0] * 6, "high": [0] * 6, "side": [2] * 6, "sid": [0, 1, 2, 3, 0, 3], "comp": [0, 1, 2, 3, 0, 3], "n": [100] * 6, "counts": [nd.count_vector(sets[i]) for i in (0, 1, 2, 3, 0, 3)]})
+    for parts in (rows.to_batches(), rows.to_batches(max_chunksize=3)):
+        out = [x for b in nd._search(iter(parts), 80, True) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sum(not again for *_, again in out) == 3 and 7 in {a for a, _, again in out if again}
+        assert {(a, b) for b_ in nd._search(iter(parts), 80, False) for a, b, again in zip(*(c.to_pylist() for c in b_.columns), strict=True)} == {(i, j) for i in range(4) for j in range(i + 1, 4)}
 
 
 def test_keep_one_of_rows_that_share_an_id(spark):
