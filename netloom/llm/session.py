@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import checkpoint_folder, ship
 
 #: ASCII white space of every contract, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if that is unset (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="netloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/netloom/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/netloom/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_path`` named."""
+    jvm = spark.sparkContext._jvm  # Spark has no public way to delete from any file system
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch, unless the session has a limit of its own: a batch of very long texts has few rows.
+BATCH_BYTES = 4 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package on the executors' path."""
+    """mapInArrow with this package on the executors' path, in batches of at most BATCH_BYTES and a row."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    if df.sparkSession.conf.get(_LIMIT) == _DEFAULT:
+        df.sparkSession.conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Return a task's freed memory to the system: a Python worker lives on and runs other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
