@@ -6,16 +6,21 @@ terms that are harmless alone, such as an insult and a mention of a group, get
 an interaction that additive weights miss.
 
 Training takes at most ``SAMPLE`` labelled rows (those with the smallest hashed
-ids, so the choice doesn't depend on partitions).  The ``TERMS`` terms whose
-presence tells most about the label (log-likelihood ratio) are the model's
-terms, and with them all terms of pairs that make a text more likely toxic
-than either does alone, by the ratio of their joint presence (``telling_pairs``);
-the others are ignored in scoring.  Scoring is one pass over the texts.
+ids, so the choice doesn't depend on partitions; of rows that repeat an id one
+counts).  First the ``TERMS`` terms whose presence tells most about the label
+(log-likelihood ratio) make a machine.  The toxic rows that it leaves below the
+threshold are then searched for pairs of terms that make a text more likely
+toxic than either does alone (``telling_pairs``), among the ``PAIR_TERMS`` rarest
+terms with enough such rows.  The machine is fitted again with the terms of
+those pairs; the others are ignored in scoring.  Scoring is one pass over the texts.
 
 Defined cases: null and empty texts score by the bias alone; rows without a
 label, with a null label or with a null id are scored, not learned from; a
 label that repeats counts once, toxic if any of its rows is; without labels of
-both kinds every score is the share of toxic rows (0 if there are none).
+both kinds every score is the share of toxic rows (0 if there are none); equal
+texts get equal scores, however long; a column named ``score`` is replaced by
+``score``, and ``drop_toxic`` hands on every column, whatever its name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from .session import durable, map_arrow, table
 
 SAMPLE = 20_000
 TERMS = 1024
+PAIR_TERMS = 2048
 STEM = 5
 #: Least log-likelihood ratio (nats) of a term: chance alone rarely gives so much among many thousand terms.
 LEAST_GAIN = 10.0
@@ -98,10 +104,10 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, f
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(words).view(np.int64) for _, words in word_hashes(batch.column(1), NOT_LETTERS, STEM)]
+        found = [np.unique(words).view(np.int64) for _, words in word_hashes(batch.column(2), NOT_LETTERS, STEM)]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["_id", "toxic", "terms"])
 
 
 def _gain(n, t, share: float):
@@ -115,84 +121,105 @@ def pair_gain(n_terms: int) -> float:
     return LEAST_GAIN + float(np.log(max(n_terms / 2, 1.0)))
 
 
-def _bits(rows: list[np.ndarray], m: int) -> np.ndarray:
-    """For each of m terms a bit for each row that has it."""
-    has = np.zeros((m, len(rows)), bool)
-    for i, x in enumerate(rows):
-        has[x, i] = True
-    return np.packbits(has, axis=1)
-
-
-def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, m: int, block: int = 512) -> list[tuple[int, int]]:
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, m: int, block: int = 1024) -> list[tuple[int, int]]:
     """All pairs of the m terms that are toxic together: their joint ratio passes each one's own by ``pair_gain`` and the toxic share is above the base.
 
-    A pair's ratio falls with every clean row that has it, so counts over the toxic rows and as many
-    clean ones bound it from above; only pairs that pass the bound are counted over all rows.
+    Rows with both terms are counted ``block`` rows at a time, in m * m numbers.
     """
-    n_rows, share = len(rows), float(labels.mean()) if len(rows) else 0.0
+    share = float(labels.mean()) if len(rows) else 0.0
     if m < 2 or share in (0.0, 1.0):
         return []
-    # the toxic rows first, then the clean ones, in columns of bits: memory is an eighth of a byte a term and row
-    order, n_toxic = np.argsort(-labels, kind="stable"), int(labels.sum())
-    bits = np.concatenate([_bits([rows[i] for i in order[a : a + 4096]], m) for a in range(0, n_rows, 4096)], axis=1)
-    n_some = min(n_rows, 2 * n_toxic)
-    floats = lambda a, b: np.unpackbits(bits[a:b, : -(-n_some // 8)], axis=1, count=n_some).astype(np.float32)
-    least = pair_gain(m)
-    own_t = np.concatenate([floats(a, a + block)[:, :n_toxic].sum(axis=1, dtype=float) for a in range(0, m, block)])
-    own = _gain(np.bitwise_count(bits).sum(axis=1, dtype=float), own_t, share)
-    rest = []
-    for a in range(0, m, block):
-        left = floats(a, a + block)
-        for b in range(a, m, block):
-            right = floats(b, b + block)
-            t = left[:, :n_toxic] @ right[:, :n_toxic].T
-            needed = least + np.maximum(own[a : a + block, None], own[None, b : b + block])
-            # the ratio of t toxic rows is at most t * log(1 / share): few pairs need more than this
-            i, j = np.nonzero(t * -np.log(share) >= needed)
-            keep = i + a < j + b
-            i, j = i[keep], j[keep]
-            if len(i):
-                low = (t + left[:, n_toxic:] @ right[:, n_toxic:].T)[i, j].astype(float)
-                t = t[i, j].astype(float)
-                keep = (t > low * share) & (_gain(low, t, share) >= needed[i, j])
-                rest.append(np.stack([i[keep] + a, j[keep] + b, t[keep].astype(np.int64)]))
-    if not rest:
-        return []
-    out = []
-    for part in np.array_split(np.concatenate(rest, axis=1), range(4096, sum(x.shape[1] for x in rest), 4096), axis=1):
-        i, j, t = part
-        n = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
-        pass_ = (t > n * share) & (n >= LEAST_ROWS) & (_gain(n.astype(float), t.astype(float), share) - np.maximum(own[i], own[j]) >= least)
-        out += list(zip(i[pass_].tolist(), j[pass_].tolist(), strict=True))
+    n, t = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for y, total in ((0, n), (1, t)):
+        at = np.flatnonzero(labels == y)
+        for part in (at[i : i + block] for i in range(0, len(at), block)):
+            has = np.zeros((len(part), m), np.float32)
+            for i, r in enumerate(part.tolist()):
+                has[i, rows[r]] = 1
+            total += has.T @ has
+    n += t
+    own = _gain(np.diag(n).astype(float), np.diag(t).astype(float), share)
+    least, out = pair_gain(m), []
+    for i in range(m - 1):
+        n_i, t_i = n[i, i + 1 :].astype(float), t[i, i + 1 :].astype(float)
+        likely = np.flatnonzero((t_i > n_i * share) & (n_i >= LEAST_ROWS))
+        gain = _gain(n_i[likely], t_i[likely], share) - np.maximum(own[i], own[likely + i + 1])
+        out += [(i, int(j)) for j in likely[gain >= least] + i + 1]
     return out
 
 
+def _pair_support(times: np.ndarray, share: float) -> int:
+    """Toxic rows that a term of a telling pair has at least; times: toxic rows of each term.
+
+    A pair's gain is at most its toxic rows times log(1 / share), and no term has fewer than its pair.
+    """
+    t = LEAST_ROWS
+    while t < times.max(initial=0) and t * -np.log(share) < pair_gain(min(int((times >= t).sum()), PAIR_TERMS)):
+        t += 1
+    return t
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: int = TERMS) -> Machine:
     """The machine, learned from at most ``sample`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(_id AS string)) % 3 <> 1").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(durable(known.orderBy(F.xxhash64("_id"), "_id").limit(sample)))  # `sample` rows of two numbers
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select(F.col("toxic").cast("int"), "_text")
-    rows = durable(map_arrow(texts, _terms, "toxic int, terms array<long>"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_id", F.col("toxic").cast("int"), "_text")
+    rows = map_arrow(texts, _terms, f"_id {texts.schema['_id'].dataType.simpleString()}, toxic int, terms array<long>")
+    rows = durable(rows.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", F.xxhash64("terms")).alias("terms")).drop("_id"))
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:
         return Machine(np.empty(0, U), -35.0, np.zeros(0), np.zeros((0, FACTORS)))
     share = n_toxic / n
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= LEAST_ROWS)
+    counts = durable(rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= LEAST_ROWS))
     n_col, t_col = F.col("n").cast("double"), F.col("t").cast("double")
     gain = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = gain(t_col, n_col * max(share, 1e-9)) + gain(n_col - t_col, n_col * max(1 - share, 1e-9))
-    best = [x.term for x in counts.filter(ratio >= LEAST_GAIN).orderBy(F.round(ratio, 9).desc(), "term").limit(terms).select("term").collect()]
-    # a pair that passes has LEAST_GAIN / log(1 / share) toxic rows, so each of its terms has
-    likely = [] if share in (0.0, 1.0) else counts.filter(t_col * float(-np.log(share)) >= LEAST_GAIN).select("term").collect()
-    both = np.sort(np.array(list({*best, *(x.term for x in likely)}), dtype=np.int64).view(U))
-    short = map_arrow(rows, lambda it: _shortened(it, both), "toxic int, places binary")
-    data = sorted((x.toxic, bytes(x.places)) for x in short.collect())  # at most `sample` rows of four bytes a term
-    texts_of, known_as = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in data], np.array([t for t, _ in data], dtype=float)
-    own = present(both, np.array(best, dtype=np.int64).view(U))
-    kept = np.unique(np.concatenate([own, np.array(telling_pairs(texts_of, known_as, len(both)), dtype=np.int64).ravel()]))
+    best = _hashes(counts.filter(ratio >= LEAST_GAIN).orderBy(F.round(ratio, 9).desc(), "term").limit(terms))
+    texts_of, known_as = _learned(rows, best)
+    machine = fit_machine(texts_of, known_as, best)
+    left = sum(machine.score(best[x]) < THRESHOLD for x, y in zip(texts_of, known_as, strict=True) if y)
+    if share in (0.0, 1.0) or not left:
+        return machine
+    share = left / (left + n - n_toxic)
+    # the toxic rows that single terms don't show, and the terms that these have
+    missed = durable(map_arrow(rows.filter("toxic = 1"), lambda it: _missed(it, machine), "term long"))
+    missed = missed.groupBy("term").agg(F.count(F.lit(1)).alias("left"))
+    support = missed.groupBy("left").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a row for each number of toxic rows
+    times = np.repeat([x.left for x in support], [x.n for x in support]) if support else np.empty(0, np.int64)
+    likely = _hashes(missed.filter(F.col("left") >= _pair_support(times, share)).join(counts, "term").orderBy("n", "term").limit(PAIR_TERMS))
+    texts_of, known_as = _learned(rows, both := np.unique(np.concatenate([best, likely])))
+    own, pairs = present(both, best), present(both, likely)
+    rest = [i for i, (x, y) in enumerate(zip(texts_of, known_as, strict=True)) if not y or machine.score(both[x]) < THRESHOLD]
+    place = np.full(len(both), -1)
+    place[pairs] = np.arange(len(pairs))
+    told = telling_pairs([(p := place[texts_of[i]])[p >= 0] for i in rest], known_as[rest], len(pairs))
+    if not told:
+        return machine
+    kept = np.unique(np.concatenate([own, pairs[np.array(told).ravel()]]))
     return fit_machine([present(kept, x) for x in texts_of], known_as, both[kept])
 
 
+def _hashes(terms: DataFrame) -> np.ndarray:
+    """The terms of a frame that is limited to the model's size, sorted."""
+    return np.sort(np.array([x.term for x in terms.select("term").collect()], dtype=np.int64).view(U))
+
+
+def _missed(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
+    """The terms of the rows that score below the threshold."""
+    for batch in batches:
+        for x in batch.column(1):
+            words = x.values.to_numpy() if len(x) else np.empty(0, np.int64)
+            if machine.score(words.view(U)) < THRESHOLD:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64())], names=["term"])
+
+
+def _learned(rows: DataFrame, kept: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places of each row's terms in ``kept``, and the labels, in an order that depends on the rows alone."""
+    short = map_arrow(rows, lambda it: _shortened(it, kept), "toxic int, places binary")
+    data = sorted((x.toxic, bytes(x.places)) for x in short.collect())  # at most `sample` rows of four bytes a term
+    return [np.frombuffer(x, "<u4").astype(np.int64) for _, x in data], np.array([t for t, _ in data], dtype=float)
+
+
 def _shortened(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = [present(kept, np.array(x, dtype=np.int64).view(U)).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
@@ -213,7 +240,13 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     return map_arrow(docs, scored, schema)
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
-    """docs that score below the threshold."""
-    kept = score(docs, train(docs, table(spark, sf_dir, "labels"))).filter(F.col("score") < threshold)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs that score below the threshold, with their columns as they are."""
+    machine, at = train(docs, table(spark, sf_dir, "labels"), text_col=text_col), docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.array([machine.score(words) for _, words in word_hashes(batch.column(at), NOT_LETTERS, STEM)])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return map_arrow(docs, clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
