@@ -10,11 +10,16 @@
    map-side.
 4. All other digests are shuffled; a hot digest is never among them.
 
+Digests are stored once with their ids and all of this works on that table;
+texts aren't shuffled.  ``drop_copies`` removes the copies of a winner map-side,
+and the others by a broadcast of at most ``FEW`` of them or else a join.
+
 Defined cases: null text counts as empty; null ids come after all others
 (``keep_id`` is null only if every copy's id is); rows that repeat both id and
 text are all marked like the first, and ``drop_copies`` leaves one of them;
-an empty table gives an empty result; other columns pass through untouched,
-and a column named like one of the five results is replaced.
+an empty table gives an empty result; texts may be of any length.  Other columns
+pass through untouched whatever their names, but ``mark_copies`` replaces one
+that is named like a result.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from .session import SPACE, durable, map_arrow
 
 COUNTERS = 1024
+#: Rows (an id and a digest) that may be broadcast.
+FEW = 500_000
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -57,31 +64,53 @@ def heavy_hitters(digests: DataFrame, id_col: str, counters: int = COUNTERS) ->
     return digests.join(F.broadcast(found), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of heavy digests with their verified winner, and all other rows."""
-    docs = docs.drop(*[c for c in RESULT if c not in (id_col, text_col)])
-    rows = docs.withColumn("text_sha256", digest(text_col))
-    # at most `counters` rows of three short columns: the one action here, and the bound of the broadcast
-    spark = docs.sparkSession
-    schema = rows.select("text_sha256", F.col(id_col).alias("keep_id"), F.lit(0).cast("long").alias("group_size")).schema
-    winners = F.broadcast(spark.createDataFrame(heavy_hitters(durable(rows.select(id_col, "text_sha256")), id_col, counters).collect(), schema))
-    return rows.join(winners, "text_sha256"), rows.join(winners, "text_sha256", "left_anti")
+def _winners(digests: DataFrame, counters: int) -> DataFrame:
+    """The verified winners, for a broadcast: at most `counters` rows of three short columns, the one collect here."""
+    schema = digests.select("text_sha256", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size")).schema
+    return F.broadcast(digests.sparkSession.createDataFrame(heavy_hitters(digests, "id", counters).collect(), schema))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return durable(docs.select(docs[id_col].alias("id"), digest(docs[text_col]).alias("text_sha256")))
+
+
+def _split(rows: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, text_sha256, ...) of the winners' digests, and all others, with keep_id and group_size."""
+    group = W.partitionBy("text_sha256")
+    cold = rows.join(winners, "text_sha256", "left_anti").withColumns({"keep_id": F.min("id").over(group), "group_size": F.count(F.lit(1)).over(group)})
+    return rows.join(winners, "text_sha256"), cold
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
+    digests = _digests(docs, id_col, text_col)
+    hot, cold = _split(digests, _winners(digests, counters))
+    return hot.unionByName(cold).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256."""
-    hot, cold = _split(docs, id_col, text_col, counters)
-    group = W.partitionBy("text_sha256")
-    cold = cold.withColumns({"keep_id": F.min(id_col).over(group), "group_size": F.count(F.lit(1)).over(group)})
-    return hot.unionByName(cold).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    others = [c for c in docs.columns if c not in RESULT or c in (id_col, text_col)]
+    rows = docs.select(docs[id_col].alias("id"), digest(docs[text_col]).alias("text_sha256"), F.struct(*[docs[c] for c in others]).alias("row"))
+    hot, cold = _split(rows, _winners(_digests(docs, id_col, text_col), counters))
+    return hot.unionByName(cold).select("row.*", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row of each group of equal texts, with the columns of docs."""
-    hot, cold = _split(docs, id_col, text_col, counters)
-    first = W.partitionBy("text_sha256").orderBy(F.col(id_col).asc_nulls_last())
-    cold = cold.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # a task keeps one row of a digest, so repeated rows of a winner don't meet in one task
-    hot = hot.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.first(whole).alias("_row")).select("_row.*")
-    return hot.unionByName(cold.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    digests = _digests(docs, id_col, text_col)
+    winners = _winners(digests, counters)
+    hot, cold = _split(digests, winners)
+    is_kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    late = durable(cold.filter(~is_kept).select("id", "text_sha256").distinct())
+    late = F.broadcast(late) if late.count() <= FEW else late
+    again = durable(hot.unionByName(cold).filter(is_kept).groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = docs.select(docs[id_col].alias("id"), digest(docs[text_col]).alias("text_sha256"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(winners, "text_sha256", "left").filter(F.col("group_size").isNull() | is_kept).select("id", "text_sha256", "row")
+    same = lambda x: (rows["text_sha256"] == x["text_sha256"]) & rows["id"].eqNullSafe(x["id"])
+    rows = rows.join(late, same(late), "left_anti")
+    if again.isEmpty():
+        return rows.select("row.*")
+    # rows that repeat both id and text: a task keeps one of them
+    single, repeated = rows.join(again, same(again), "left_anti"), rows.join(again, same(again), "left_semi")
+    return single.select("row.*").unionByName(repeated.groupBy("id", "text_sha256").agg(F.first("row").alias("row")).select("row.*"))

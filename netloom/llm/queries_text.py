@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .exact_dedup import mark_copies
+from .exact_dedup import copies
 from .near_dup import jaccard_components, jaccard_links
 from .packing import pack
 from .secret_scans import scan_secrets
@@ -23,8 +23,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark_copies(table(spark, sf_dir, "documents"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return copies(table(spark, sf_dir, "documents"))
 
 
 OP4_SQL = r"""
