@@ -9,12 +9,15 @@ piece-by-piece best-fit would.  The plan has rows
 (length, first rank, last rank, first bin, pieces a bin, offset), their number
 bounded by the capacity and not by the corpus.  Each piece finds its row by its
 rank among the pieces of its length: a rank inside a salt of (length, salt)
-plus the counts of the salts before, so no length, however common, is ranked
-by one task.
-
-Defined cases: null text counts as empty (one piece, the separator alone); a
-null id hashes like any other value; repeated rows are packed each on its own;
-an empty table gives an empty result; other columns are ignored.
+plus the counts of the salts before.  A length gets a salt for every ``RANKED``
+pieces (or more where there are over RANKED * SALTS pieces), so no length, however
+common, is ranked by one task, and the driver has capacity + SALTS counts at most.
+
+Defined cases: null text counts as empty (one piece, the separator alone); ids
+are cast to long, so one that isn't a number is an error (or null, without ANSI
+mode); a null id hashes like any other value; repeated rows are packed each on
+its own; a text may be of any length and its pieces are handed on a million ids
+at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from .session import durable, map_arrow
 
 CAPACITY = 2048
 SEPARATOR = 0
-SALTS = 64
+RANKED = 10_000
+SALTS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -145,13 +149,16 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[
     return plan, bins
 
 
-def place(pieces_df: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+def place(pieces_df: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
+    """The pieces with sequence_id and offset; at most about ``ranked`` pieces of a length are ranked together."""
     spark = pieces_df.sparkSession
     fixed = durable(pieces_df)
-    salted = fixed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    lengths = [(x.length, x["count"]) for x in fixed.groupBy("length").count().collect()]  # at most capacity rows
+    ranked = max(ranked, sum(n for _, n in lengths) // SALTS)
+    salts = F.broadcast(spark.createDataFrame([(length, -(-n // ranked)) for length, n in lengths], "length long, _salts long"))
+    salted = fixed.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts")).cast("int")).drop("_salts")
     counts = salted.groupBy("length", "_salt").count()
-    counts = [(x.length, x._salt, x["count"]) for x in counts.collect()]  # at most capacity x salts rows
+    counts = [(x.length, x._salt, x["count"]) for x in counts.collect()]  # at most capacity + SALTS rows
     histogram, before = {}, []
     for length, salt, n in sorted(counts):
         before.append((length, salt, histogram.get(length, 0)))
