@@ -9,19 +9,22 @@ batch's distinct words walk it together, one byte position at a time.  Words
 that it doesn't hold are merged exactly, pair by pair in rank order, so the
 ids don't depend on which words the lexicon has.
 
-The words come from all documents: each partition counts its words and keeps
-its ``LEXICON`` most frequent; their sums' top ``LEXICON`` are compiled.
+The words come from all documents: each partition hands on partial counts of
+all its words, and the ``LEXICON`` most frequent by their sums are compiled.
 
 Defined cases: null and empty texts have no ids and decode to ""; equal rows
-have equal results; texts that hold a special token's string or characters on
-which Unicode versions differ are split by the tokenizers library itself.
+have equal results; a text may be of any length; ids are cast to long, so one
+that isn't a number is an error (or null, without ANSI mode); an empty table
+gives an empty result; other columns are ignored.  Texts with characters on which Unicode
+versions differ are split into words by the library's own pre-tokenizer, and
+their words go through the transducer like all others; only a text that holds a
+special token's string is encoded by the library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 import uuid
 from array import array
 from collections import Counter
@@ -34,11 +37,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import own_folder
 from . import tokens
 from .session import map_arrow
 
 LEXICON = 1 << 16
 MEMO = 1 << 19
+#: Bytes of the longest words that the lexicon takes; longer ones are merged.
+LONGEST = 128
 #: Words that are looked up together.
 CHUNK = 1 << 17
 #: The public split pattern for texts in which every number character is a decimal digit.
@@ -46,8 +52,10 @@ _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\
 _OTHER_NUMBERS = re.compile("[²³¹¼½¾]")
 
 
-def split_words(text: str) -> list[str]:
-    """The tokenizer's words of a plain text, in order; joined they are the text."""
+def split_words(text: str, json_path: str) -> list[str]:
+    """The tokenizer's words of a text without special tokens, in order; joined they are the text."""
+    if not tokens.is_plain(text):
+        return tokens.library_words(text, json_path)
     if _OTHER_NUMBERS.search(text):
         import regex
 
@@ -80,8 +88,9 @@ def merge_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 def merger(path: str):
-    """word -> ids by the same merging, compiled."""
-    return tokens.ranked(path, tokens.FULL_PATTERN)._encode_single_piece
+    """word (text or bytes in UTF-8) -> ids by the same merging, compiled."""
+    encode = tokens.ranked(path, r"[\s\S]+").encode_ordinary
+    return lambda word: encode(word.decode() if isinstance(word, bytes) else word)
 
 
 # --- the automaton -------------------------------------------------------------------------------------------
@@ -183,6 +192,8 @@ class Coder:
     def __init__(self, lexicon: Lexicon, json_path: str, ranks_path: str):
         self.lexicon, self.json_path, self.merge = lexicon, json_path, merger(ranks_path)
         self.memo: dict[str, bytes] = {}
+        #: Words that the transducer held, and words that were merged.
+        self.held = self.merged = 0
         self.symbol = {i: b for b, i in ranks(ranks_path).items()}
         for i, x in tokens.library(json_path).get_added_tokens_decoder().items():
             self.symbol[i] = x.content.encode()
@@ -190,7 +201,10 @@ class Coder:
     def learn(self, words: set[str]) -> None:
         new = list(words)
         raw = [w.encode() for w in new]
-        for word, place in zip(new, self.lexicon.places(raw).tolist(), strict=True):
+        places = self.lexicon.places(raw)
+        self.held += int((places >= 0).sum())
+        self.merged += int((places < 0).sum())
+        for word, place in zip(new, places.tolist(), strict=True):
             self.memo[word] = bytes(self.lexicon.ids_at(place)) if place >= 0 else array("I", self.merge(word)).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -203,8 +217,8 @@ class Coder:
         new: set[str] = set()
         size = 0
         for text in texts:
-            if tokens.is_plain(text, self.json_path):
-                words = split_words(text)
+            if not tokens.is_special(text, self.json_path):
+                words = split_words(text, self.json_path)
                 new.update(words)
                 size += len(words)
                 held.append(words)
@@ -234,22 +248,28 @@ def _coder(name: str, json_path: str, ranks_path: str) -> Coder:
     return Coder(Lexicon(SparkFiles.get(name)), json_path, ranks_path)
 
 
-def _count(batches: Iterator[pa.RecordBatch], json_path: str, most: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], json_path: str, most: int = MEMO) -> Iterator[pa.RecordBatch]:
+    """Partial counts of all words; they are handed on whenever there are more than ``most``."""
     counts: Counter[str] = Counter()
+
+    def sums() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text and tokens.is_plain(text, json_path):
-                counts.update(split_words(text))
-        if len(counts) > 16 * most:  # the rare half goes: the lexicon's words change, the ids never
-            counts = Counter(dict(counts.most_common(8 * most)))
-    top = counts.most_common(most)
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            if text and not tokens.is_special(text, json_path):
+                counts.update(split_words(text, json_path))
+                if len(counts) > most:
+                    yield sums()
+                    counts.clear()
+    yield sums()
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON, json_path: str | None = None) -> list[bytes]:
     """At most ``most`` words, by their counts over all documents."""
     json_path = json_path or tokens.default_path("byte_bpe_50k.json")
-    counts = map_arrow(docs.select(text_col), lambda it: _count(it, json_path, most), "word string, n long")
+    counts = map_arrow(docs.select(text_col), lambda it: _count(it, json_path), "word string, n long")
+    counts = counts.filter(F.octet_length("word") <= LONGEST)
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return [x.word.encode() for x in top.select("word").collect()]
 
@@ -257,11 +277,10 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON,
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", json_path: str | None = None, ranks_path: str | None = None, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if asked for)."""
     json_path, ranks_path = json_path or tokens.default_path("byte_bpe_50k.json"), ranks_path or tokens.default_path("byte_bpe_50k.tiktoken")
-    rank = ranks(ranks_path)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = f"{tempfile.mkdtemp(prefix='netloom-')}/{name}"
+    path = f"{own_folder()}/{name}"
     with open(path, "wb") as f:
-        f.write(compile_lexicon(frequent_words(docs, text_col, json_path=json_path), lambda w: merge_word(w, rank)))
+        f.write(compile_lexicon(frequent_words(docs, text_col, json_path=json_path), merger(ranks_path)))
     docs.sparkSession.sparkContext.addFile(path)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

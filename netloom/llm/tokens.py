@@ -2,14 +2,16 @@
 
 Most texts go through the rank file with a pattern that needs no look-ahead:
 without two white-space characters in a row it splits as the full pattern
-does.  Texts with characters outside the plain blocks below (Unicode versions
-of the libraries differ there) and texts that hold a special token's string
-go to the tokenizers library itself.
+does.  Texts with characters outside the plain blocks below, where Unicode
+versions of the libraries differ, are split into words by the tokenizers
+library's own pre-tokenizer (``library_words``), and texts that hold a special
+token's string go to that library whole.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -51,15 +53,27 @@ def library(path: str):
 
 @lru_cache(maxsize=4)
 def special_strings(path: str) -> tuple[str, ...]:
-    return tuple(x.content for x in library(path).get_added_tokens_decoder().values())
+    """The strings of the special tokens, from the file itself: most tasks never need the library."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f).get("added_tokens", ()))
 
 
-def is_plain(text: str, json_path: str) -> bool:
-    return not _NOT_PLAIN.search(text) and not any(s in text for s in special_strings(json_path))
+def is_special(text: str, json_path: str) -> bool:
+    """Whether a text holds a special token's string."""
+    return any(s in text for s in special_strings(json_path))
+
+
+def is_plain(text: str) -> bool:
+    return not _NOT_PLAIN.search(text)
+
+
+def library_words(text: str, json_path: str) -> list[str]:
+    """The words into which the library splits a text without special tokens; joined they are the text."""
+    return [text[a:b] for _, (a, b) in library(json_path).pre_tokenizer.pre_tokenize_str(text)]
 
 
 def encode(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     """The library's ids of a whole text (add_special_tokens=False) as unsigned 32-bit values."""
-    if not is_plain(text, json_path):
+    if not is_plain(text) or is_special(text, json_path):
         return np.array(library(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     return ranked(ranks_path, FULL_PATTERN if _SPACES.search(text) else SINGLE_SPACE_PATTERN).encode_to_numpy(text).astype("<u4", copy=False)
