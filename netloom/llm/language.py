@@ -9,12 +9,16 @@ added up by host, by suffix and over everything (grouped aggregation), and
 smoothed down the hierarchy: a suffix's prior leans on the global one with
 weight ``LEAN``, a host's on its suffix's.  How far a declaration can be
 trusted is learned in the same way, from how often it goes with each language.
+Host priors are broadcast while they are at most ``FEW``; more are joined, with the
+rows of a host dealt over ``SALTS`` tasks.
 
 Defined cases: null and empty texts have no text evidence and follow their
 declaration and host; null hosts, suffixes and declarations are values of
 their own; without labelled rows the result is empty strings with probability
 0; ties go to the language that comes first by name; repeated rows get equal
-results.
+results, and texts may be of any length; an empty table gives an empty result.
+Other columns are handed on whatever their names, but ``lang`` and
+``probability`` are replaced by the results.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ SAMPLE = 10_000
 BUCKETS = 1 << 16
 EVIDENCE = 60
 LEAN = 5.0
+#: Rows of host priors that may be broadcast, and parts of a host's rows in a join of more.
+FEW = 200_000
+SALTS = 32
+#: More languages than this are taken for a mistake in the labels.
+MOST_LANGUAGES = 1000
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 
@@ -75,11 +84,15 @@ def fit_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = durable(known.select(id_col, lang_col).orderBy(F.xxhash64(id_col), id_col).limit(sample)).distinct()
     rows = known.join(F.broadcast(chosen), [id_col, lang_col], "left_semi").select(lang_col, text_col)
-    counts = map_arrow(rows, _counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({x.lang for x in counts}))
+    if (n := chosen.select(lang_col).distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages, {MOST_LANGUAGES} at most")
+    sums = map_arrow(rows, _counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # a row for each language: its buckets and their sums, at most BUCKETS of them
+    counts = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").collect()
+    languages = tuple(x.lang for x in counts)
     table = np.full((BUCKETS, len(languages)), 0.5)
-    for x in counts:
-        table[x.bucket, languages.index(x.lang)] += x.n
+    for i, x in enumerate(counts):
+        table[np.array(x.buckets), i] += np.array(x.ns)
     return TextModel(languages, np.log(table / table.sum(axis=0)) if languages else table)
 
 
@@ -115,32 +128,42 @@ def visible_text(html: Column) -> Column:
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """rows (any columns, and text, declared, suffix, host) without text, with lang and probability."""
     n = len(model.languages)
-    others = [c for c in rows.columns if c != "text"]
+    others = [c for c in rows.columns if c not in ("text", "lang", "probability")]
     if not n:
-        return rows.select(*others, F.lit("").alias("lang"), F.lit(0.0).alias("probability"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    names, at = rows.columns, rows.columns.index("text")
-    scored = durable(map_arrow(rows, lambda it: _scored(it, model, names, at), f"{kinds}, ll array<double>"))
+        return rows.select(*[rows[c] for c in others], F.lit("").alias("lang"), F.lit(0.0).alias("probability"))
+    key = lambda c: F.coalesce(rows[c].cast("string"), F.lit(""))
+    packed = rows.select(F.struct(*[rows[c] for c in others]).alias("row"), key("host").alias("host"), key("suffix").alias("suffix"), key("declared").alias("declared"), rows["text"].alias("text"))
+    names, at = packed.columns, packed.columns.index("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "text")
+    scored = durable(map_arrow(packed, lambda it: _scored(it, model, names, at), f"{kinds}, ll array<double>"))
     total = F.aggregate("ll", F.lit(0.0), lambda a, x: a + F.exp(x))
-    soft = scored.withColumn("_total", total).withColumns({f"_p{i}": F.exp(F.get("ll", F.lit(i))) / F.col("_total") for i in range(n)})
-    sums = lambda by, df=soft: df.groupBy(*by).agg(*[F.sum(f"_p{i}").alias(f"_{by[-1] if by else 'all'}{i}") for i in range(n)])
-    key = lambda c: F.coalesce(F.col(c), F.lit(""))
-    soft = soft.withColumns({"_host": key("host"), "_suffix": key("suffix"), "_declared": key("declared")})
-    hosts, suffixes, declared = sums(["_suffix", "_host"], soft), sums(["_suffix"], soft), sums(["_declared"], soft)
-    everything = soft.agg(*[F.sum(f"_p{i}") for i in range(n)]).first()
+    soft = scored.select("host", "suffix", "declared", "ll", total.alias("total")).withColumns({f"p{i}": F.exp(F.get("ll", F.lit(i))) / F.col("total") for i in range(n)})
+    sums = lambda *by: soft.groupBy(*by).agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(n)])
+    hosts, declared = durable(sums("suffix", "host")), sums("declared")
+    everything = hosts.agg(*[F.sum(f"p{i}") for i in range(n)]).first()
     prior = [((everything[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in everything) + n) for i in range(n)]
     all_of = lambda prefix: sum((F.col(f"{prefix}{i}") for i in range(n)), F.lit(0.0))
-    suffixes = suffixes.select("_suffix", *[((F.col(f"__suffix{i}") + LEAN * prior[i]) / (all_of("__suffix") + LEAN)).alias(f"s{i}") for i in range(n)])
-    hosts = hosts.join(suffixes, "_suffix").select("_suffix", "_host", *[((F.col(f"__host{i}") + LEAN * F.col(f"s{i}")) / (all_of("__host") + LEAN)).alias(f"h{i}") for i in range(n)])
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"p{i}").alias(f"q{i}") for i in range(n)])
+    suffixes = suffixes.select("suffix", *[((F.col(f"q{i}") + LEAN * prior[i]) / (all_of("q") + LEAN)).alias(f"s{i}") for i in range(n)])
+    hosts = hosts.join(suffixes, "suffix").select("suffix", "host", *[((F.col(f"p{i}") + LEAN * F.col(f"s{i}")) / (all_of("p") + LEAN)).alias(f"h{i}") for i in range(n)])
     # P(declaration | language), smoothed; a missing declaration says nothing
     mass = [(everything[i] or 0.0) + 1.0 for i in range(n)]
-    trust = declared.select("_declared", *[F.when(F.col("_declared") == "", 1.0).otherwise((F.col(f"__declared{i}") + 0.01) / mass[i]).alias(f"d{i}") for i in range(n)])
-    joined = scored.withColumns({"_host": key("host"), "_suffix": key("suffix"), "_declared": key("declared")}).join(hosts, ["_suffix", "_host"]).join(trust, "_declared")
-    fused = joined.withColumn("_log", F.array(*[F.get("ll", F.lit(i)) + F.log(f"h{i}") + F.log(f"d{i}") for i in range(n)]))
-    fused = fused.withColumn("_top", F.array_max("_log"))
-    best = F.array_position("_log", F.col("_top")).cast("int")
-    share = 1.0 / F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    return fused.select(*others, F.element_at(F.array(*[F.lit(x) for x in model.languages]), best).alias("lang"), share.alias("probability"))
+    trust = declared.select("declared", *[F.when(F.col("declared") == "", 1.0).otherwise((F.col(f"p{i}") + 0.01) / mass[i]).alias(f"d{i}") for i in range(n)])
+    joined = _joined(_joined(scored, hosts, ["suffix", "host"]), trust, ["declared"])
+    fused = joined.withColumn("log", F.array(*[F.get("ll", F.lit(i)) + F.log(f"h{i}") + F.log(f"d{i}") for i in range(n)]))
+    fused = fused.withColumn("top", F.array_max("log"))
+    best = F.array_position("log", F.col("top")).cast("int")
+    share = 1.0 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    return fused.select("row.*", F.element_at(F.array(*[F.lit(x) for x in model.languages]), best).alias("lang"), share.alias("probability"))
+
+
+def _joined(rows: DataFrame, priors: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the priors of their keys: broadcast, or joined with a key's rows dealt over SALTS tasks."""
+    priors = durable(priors)
+    if priors.count() <= FEW:
+        return rows.join(F.broadcast(priors), keys)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("ll", "row"), F.lit(SALTS)).cast("int"))
+    return dealt.join(priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"]).drop("salt")
 
 
 def evidence_of(documents: DataFrame, pages: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return identify(evidence_of(documents, table(spark, sf_dir, "pages")), fit_text(documents))
+    learned = documents.filter("crc32(cast(doc_id AS string)) % 3 <> 1")  # the others are held out, to measure with
+    return identify(evidence_of(documents, table(spark, sf_dir, "pages")), fit_text(learned))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
