@@ -7,14 +7,21 @@ record's declared length, not its content, says where the next begins.
 digests; of records with equal payloads of at least ``LEAST_BYTES`` one is the
 response and the others are revisits.
 
+``write_archives`` makes ARC files in memory, of both versions and some megabytes
+of records each, and converts them; ``convert_arc_files`` converts stored ones.
 Archives are written by Spark's text writer (the line separator is the blank
 lines that end a WARC record), so they go to any file system Spark can write,
-and are read back by the binary reader, file by file.
+and are read back by the binary reader, file by file; a file gets as many records
+as make ``FILE_BYTES`` on the average.  Payloads aren't shuffled: the winners of
+equal payloads are broadcast while they are at most ``FEW``, more are joined.
 
 Defined cases: a null payload counts as empty, a null address as "unknown:";
-white space in addresses is percent-encoded; a null page id has no number and
-never wins among equal payloads; rows that repeat a winner's page id are
-responses too; an empty table gives an empty result.
+white space in addresses is percent-encoded; ids are cast to long, so one that
+isn't a number is an error (or null, without ANSI mode); a null page id has no
+number and never wins among equal payloads; rows that repeat a winner's page id
+are responses too, and other repeated rows are records of their own; a payload
+may be as long as Spark's rows; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import map_arrow, shared_path
+from .session import durable, map_arrow, shared_path
 
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 5000
+FILE_BYTES = 64 << 20
+#: Bytes of an ARC file made in memory, and winners (a digest and a number) that may be broadcast.
+ARC_BYTES = 4 << 20
+FEW = 500_000
 END = "\r\n\r\n"
 #: The definition lines of the two versions.
 DEFINITIONS = {
@@ -149,19 +159,38 @@ def _arc_url(url: str | None, page: int | None) -> str:
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (page_id, url, html, revisit, refers_to) become WARC records by way of ARC files of both versions."""
-    for k, batch in enumerate(batches):
-        version, out, size = 1 + k % 2, [], 0
+    k = 0
+    for batch in batches:
+        row = 0
+        while row < batch.num_rows:
+            version, name, marks = 1 + k % 2, f"pages-{k}.arc", []
+            arc = bytearray(arc_version_block(version, name))
+            while row < batch.num_rows and len(arc) < ARC_BYTES:
+                page, url, html, revisit, refers = (c[row].as_py() for c in batch.columns)
+                marks.append((refers, revisit))
+                arc += arc_record(version, _arc_url(url, page), (html or "").encode(), len(arc), name)
+                row += 1
+            out = [warc_record(*parsed, *mark).decode() for parsed, mark in zip(parse_arc(bytes(arc)), marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            k += 1
+
+
+def _convert_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         for row in range(batch.num_rows):
-            page, url, html, revisit, refers = (c[row].as_py() for c in batch.columns)
-            name = f"pages-{k}.arc"
-            arc = arc_version_block(version, name) + arc_record(version, _arc_url(url, page), (html or "").encode(), 0, name)
-            for fields, head, payload in parse_arc(arc):
-                out.append(warc_record(fields, head, payload, refers, revisit).decode())
-                size += len(out[-1])
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            data = batch.column(0)[row].as_py()
+            for fields, head, payload in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                yield pa.RecordBatch.from_arrays([pa.array([warc_record(fields, head, payload).decode("utf-8", "replace")], pa.string())], names=["value"])
+
+
+def convert_arc_files(spark, arc_path: str, warc_path: str, records_per_file: int = 5000) -> None:
+    """WARC files of the records of all ARC files (plain or gzip) under a path; every record is a response, text in UTF-8."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(arc_path).select("content")
+    _write(map_arrow(files, _convert_files, "value string"), warc_path, records_per_file)
+
+
+def _write(records: DataFrame, path: str, records_per_file: int) -> None:
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +214,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     html = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     # partial aggregation: a task sends one row for each digest, and pages' text stays where it is
-    winners = rows.filter(f"size >= {LEAST_BYTES}").groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = durable(rows.groupBy("digest", (F.col("size") >= LEAST_BYTES).alias("long")).agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    total = groups.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.when(F.expr("long AND n > 1"), 1)).alias("winners")).first()
+    winners = groups.filter("long AND n > 1").select(F.col("digest").alias("_digest"), "winner")
+    winners = F.broadcast(winners) if total.winners <= FEW else winners
     marked = rows.join(winners, (F.col("digest") == F.col("_digest")) & (F.col("size") >= LEAST_BYTES), "left")
     revisit = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     records = map_arrow(marked.select("page_id", "url", "html", revisit.alias("revisit"), "winner"), _convert, "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    _write(records, path, max(1, int(FILE_BYTES // (1000 + (total.bytes or 0) / max(total.n or 0, 1)))))
 
 
 def read_archives(spark, path: str) -> DataFrame:
