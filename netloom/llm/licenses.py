@@ -13,8 +13,9 @@ each other, and rows that repeat both get the same result.  A document's votes
 are distinct template positions, so repeated rows don't add up either.
 
 Defined cases: null counts as empty (no words, no labels, score 0); null ids
-are an id of their own; other columns are ignored; an empty table gives an
-empty result.
+are an id of their own; a text may be of any length; ties between spans need
+none, as all count; other columns are ignored whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,20 +71,34 @@ def scan_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Ɀ"))), NOT_WORD), lambda w: w != "")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified spans: _id, _text (a hash), template, label, base, first_word, last_word, share."""
-    grams = F.broadcast(template_grams(docs.sparkSession))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_text"), scan_words(F.col(text_col)).alias("_words"))
+def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document, stored: _id, _text (a hash), n_words, and the (pos, hash, check) of its k-grams that a template has.
+
+    The texts are read here and nowhere else.
+    """
+    known = [x.hash for x in template_grams(docs.sparkSession).select("hash").distinct().collect()]  # a few hundred, whatever the corpus
+
     def grams_of(words: Column) -> Column:
         gram = lambda k, i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(words, i, k)).alias("hash"), F.hash(F.slice(words, i, k)).alias("check"))
         rolling = lambda k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: gram(k, i))).otherwise(F.array())
-        return F.concat(rolling(2), rolling(GRAM))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.filter(F.concat(rolling(2), rolling(GRAM)), lambda g: g["hash"].isin(known)).alias("grams"))
+
+    rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_text"), scan_words(docs[text_col]).alias("_words"))
+    # the words are bound to a variable, so that they are split once
+    found = rows.select("_id", "_text", F.get(F.transform(F.array("_words"), grams_of), F.lit(0)).alias("_found"))
+    return durable(found.select("_id", "_text", F.col("_found.n_words").alias("n_words"), F.col("_found.grams").alias("grams")))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified spans: _id, _text (a hash), template, label, base, first_word, last_word, share."""
+    return _spans(_matches(docs, id_col, text_col))
+
 
-    # the words are bound to a variable, and the outer explode keeps Catalyst from repeating them in an inferred filter
-    both = rows.select("_id", "_text", F.get(F.transform(F.array("_words"), grams_of), F.lit(0)).alias("_grams"))
-    votes = both.select("_id", "_text", F.explode_outer("_grams").alias("g")).select("_id", "_text", "g.*").join(grams, ["hash", "check"])
+def _spans(matches: DataFrame) -> DataFrame:
+    grams = F.broadcast(template_grams(matches.sparkSession))
+    votes = matches.select("_id", "_text", F.explode("grams").alias("g")).select("_id", "_text", "g.*").join(grams, ["hash", "check"])
     key = ["_id", "_text", "template"]
-    # matches are few; kept, both kinds of template read them and the texts are scanned once
+    # matches are few; kept, both kinds of template read them
     diagonals = durable(votes.select(*key, "label", "base", "n_grams", "n_template", "at", (F.col("pos") - F.col("at")).alias("diagonal")).distinct())
     exact = diagonals.filter("base").groupBy(*key, "label", "base", "n_grams", "n_template", "diagonal").agg(F.count(F.lit(1)).alias("n")).filter("n = n_grams")
     exact = exact.select(*key, "label", "base", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_template") - 1).alias("last_word"), F.lit(1.0).alias("share"))
@@ -99,7 +114,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = spans(docs, id_col, text_col)
+    matches = _matches(docs, id_col, text_col)
+    found = _spans(matches)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     # at most one short row for each place of a phrase, and a document's labels are few
     by_doc = found.groupBy("_id", "_text").agg(
@@ -110,9 +126,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         joined(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
     )
-    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_key"), F.size(scan_words(F.col(text_col))).cast("long").alias("n_words"))
-    out = rows.join(by_doc, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
+    rows = matches.select(F.col("_id").alias("_doc"), F.col("_text").alias("_key"), "n_words")
+    out = rows.join(by_doc, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
     return out.select(
-        id_col, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.col("_doc").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
