@@ -11,7 +11,8 @@ the sort that finds repeated windows is done only for texts that have any.
 
 Defined cases: null counts as a text without words (rejected by the base
 rules); a text without lines loses nothing; repeated rows get equal results;
-other columns are ignored, an empty table gives an empty result.
+a text may be of any length; ``judge`` ignores other columns and ``clean_lines``
+hands them on; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,8 +10,11 @@ around them.  The forest is trained on findings labelled by construction:
 placeholders into their usual surroundings (not secret).
 
 Defined cases: null and empty texts have no findings; equal rows have equal
-findings; positions count code points from 0; a finding is a run as long as it
-is, however long the text.
+findings, each their own; positions count code points from 0; a finding is a run
+as long as it is, however long the text; ids are cast to long, so one that isn't a
+number is an error (or null, without ANSI mode), and null ids have findings too; an empty table gives
+an empty result.  ``scan_secrets`` ignores other columns, ``redact_secrets`` hands on
+all of them, whatever their names, and sets ``n_chars`` if there is one.
 """
 
 from __future__ import annotations
