@@ -1,4 +1,17 @@
-"""A training-corpus pipeline over documents: toxicity, copies, near copies, secrets, packing."""
+"""A training-corpus pipeline over documents: toxicity, copies, near copies, secrets, packing.
+
+Every stage but the last returns the columns of its input, whatever their
+names, and each is written as Parquet before the next reads it.
+
+Defined cases, for every stage: null and empty texts are clean, all alike for
+exact deduplication (one of them stays), wordless for near deduplication (which
+leaves them), without secrets, and packed as the separator alone; null ids come
+after all others; rows that repeat an id are rows of their own, and of rows
+that repeat both id and text one stays; ties go to the smallest id; a text may
+be of any length; an empty table gives an empty result.  What a run writes lies
+in the folder of spark.checkpoint.dir; ``run`` removes a stage's rows as soon as
+the next stage is written.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm.exact_dedup import drop_copies
 from netloom.llm.near_dup import keep_one
 from netloom.llm.packing import pack
-from netloom.llm.session import shared_path
+from netloom.llm.session import remove, shared_path
 from netloom.llm.secret_scans import redact_secrets
 from netloom.llm.toxicity import drop_toxic
 
@@ -51,9 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents, each stage's rows written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
