@@ -61,7 +61,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import Forest, connected
 from .hashing import U, mix, shingles, word_hashes
 from .session import durable, map_arrow
 
@@ -352,25 +352,6 @@ class CountTree:
         return self.order[passes(rows, self.points, self.sizes)]
 
 
-class _Forest:
-    """Union-find over component names."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    def joins(self, x: int, y: int) -> bool:
-        """Whether x and y were apart; they are together from now on."""
-        x, y = self.root(x), self.root(y)
-        self.parent[x] = y
-        return x != y
-
-
 def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one group that the count vectors can't tell apart, and how far their overlap is at most above the threshold.
 
@@ -413,7 +394,7 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> It
 
     With forest, only a spanning forest of the partition's pairs, and for each key that has other pairs a row with the key as a, and again.
     """
-    trees, held, done = _Forest(), None, False
+    trees, held, done = Forest(), None, False
     batches = iter(batches)
     while not done:
         batch = next(batches, None)

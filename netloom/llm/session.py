@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,28 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of frames made in here go when the action on them ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; no shuffle files of what led there stay."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with no_shuffles_left(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 #: Bytes of an Arrow batch, unless the session has a limit of its own: a batch of very long texts has few rows.

@@ -1,18 +1,23 @@
 """Packing, deduplication, toxicity, secrets and the pipeline against brute force."""
 
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from netloom.llm import components
 from netloom.llm import near_dup as nd
 from netloom.llm import packing, secret_scans, tokens, toxicity
 from netloom.llm.exact_dedup import drop_copies, mark_copies, misra_gries
 from netloom.llm.hashing import BLOCK, word_hashes
+from netloom.llm.session import durable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,6 +93,34 @@ def test_large_keys_are_searched_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 90).items()}
 
 
+def test_components_of_graphs_of_any_size(spark, monkeypatch):
+    """In one task and in rounds: chains, hubs, loops, repeated edges and negative names; a forest that is begun anew loses nothing."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(-7, r.randrange(100, 130)) for _ in range(60)] + [(200, 200), (300, 301), (301, 300)]
+    r.shuffle(edges)
+    want = {i: 0 for i in range(41)} | {x: -7 for e in edges if e[0] == -7 for x in e} | {300: 300, 301: 300}
+    frame_of = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for few in (1000, 10):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {x.node: x.component for x in components.connected(frame_of).collect()} == want
+    assert components.connected(frame_of.limit(0)).count() == 0
+    batches = [pa.RecordBatch.from_pydict({"u": [x], "v": [y]}) for x, y in [(2, 1), (3, 2), (3, 1), (5, 4), (5, 3)]]
+    assert sum(x.num_rows for x in components._thinned(iter(batches), 1)) == 5 and sum(x.num_rows for x in components._thinned(iter(batches), 9)) == 4
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    """What was shuffled for a frame goes when the frame is stored, not when the driver collects its garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for d in blocks.localDirs() for _, _, names in os.walk(str(d)) for n in names if n.startswith("shuffle_")}
+    before = files()
+    durable(spark.range(1000).groupBy(F.col("id") % 7).count())
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_near_dup_keeps_one_and_survives_empty_tables(spark):
     rows = near_copies()
     docs = frame(spark, rows)
